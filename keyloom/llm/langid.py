@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_rows
+from .common import ddl, map_rows
 
 PER_LANGUAGE, SAMPLE_BYTES, PIECE_BYTES = 64, 1024, 512
 #: Lazy matching with fixed tables: a preset level would choose other ones for each dictionary's size.
@@ -114,8 +114,4 @@ def keep_identified(docs: DataFrame, min_margin: float = MIN_MARGIN) -> DataFram
 
         return step
 
-    return map_rows(docs, _ddl(docs), make)
-
-
-def _ddl(df: DataFrame) -> str:
-    return ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in df.schema)
+    return map_rows(docs, ddl(docs), make)
