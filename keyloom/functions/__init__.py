@@ -1 +1 @@
-
+"""Scalar functions as Column expressions: everything stays in the JVM."""
