@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from keyloom.llm import bpe, decontaminate, jaccard, langid, secrets
-from keyloom.session import table
+from keyloom.session import table, written
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -50,7 +50,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; each one's rows are written to the shared folder and read again, so none runs twice."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
