@@ -15,6 +15,10 @@ from ..options import TRAILER, Options
 from .ordered import Buckets, neighbours, numbered
 
 
+#: Restarts that one task sums up.
+SPAN = 1 << 20
+
+
 def entries(df: DataFrame, options: Options = Options()) -> DataFrame:
     """key, value, restart_id, shared, non_shared, entry_size: each entry as one long block would encode it."""
     placed = numbered(df).join(neighbours(df).select("key", "previous_key"), "key")
@@ -29,8 +33,15 @@ def entries(df: DataFrame, options: Options = Options()) -> DataFrame:
 def restart_points(df: DataFrame, options: Options = Options()) -> DataFrame:
     """restart_id, key, offset: where entries with whole keys start in one long block."""
     sizes = entries(df, options).groupBy("restart_id").agg(F.min("key").alias("key"), F.sum("entry_size").alias("bytes"))
-    before = F.coalesce(F.sum("bytes").over(Window.orderBy("restart_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return sizes.select("restart_id", "key", before.cast("long").alias("offset"))  # a row for each 16 keys of one block
+    spans = sizes.withColumn("span", F.floor(F.col("restart_id") / SPAN))
+    # a running sum inside each span, and what all spans before it hold: one row a span
+    before, total = [], 0
+    for r in spans.groupBy("span").agg(F.sum("bytes").alias("bytes")).orderBy("span").collect():
+        before.append((r["span"], total))
+        total += r["bytes"]
+    earlier = F.broadcast(df.sparkSession.createDataFrame(before, "span long, before long"))
+    inside = F.coalesce(F.sum("bytes").over(Window.partitionBy("span").orderBy("restart_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return spans.withColumn("inside", inside).join(earlier, "span").select("restart_id", "key", (F.col("inside") + F.col("before")).cast("long").alias("offset"))
 
 
 def prefix_rebuilt(df: DataFrame, options: Options = Options()) -> DataFrame:

@@ -6,7 +6,7 @@ so an id is at one level; deleting an unknown id changes nothing, and the change
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.codecs import varint_length
@@ -35,15 +35,10 @@ def lookup(state: DataFrame, ids: DataFrame) -> DataFrame:
 
 def counters(log: DataFrame) -> DataFrame:
     """creations and deletions (deletions of unknown ids too are changes in the log, and don't count)."""
-    earlier = log.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("seq", "op"))).alias("changes"))  # changes of one table id: few
-    start = F.struct(F.lit(False).alias("live"), F.lit(0).cast("long").alias("deleted"))
-
-    def step(s, c):
-        gone = (c["op"] == DELETE) & s["live"]
-        return F.struct((c["op"] == CREATE).alias("live"), (s["deleted"] + gone.cast("long")).alias("deleted"))
-
-    by_id = earlier.select(F.size(F.filter("changes", lambda c: c["op"] == CREATE)).cast("long").alias("created"), F.aggregate("changes", start, step, lambda s: s["deleted"]).alias("deleted"))
-    return by_id.agg(F.coalesce(F.sum("created"), F.lit(0)).cast("long").alias("creations"), F.coalesce(F.sum("deleted"), F.lit(0)).cast("long").alias("deletions"))
+    before = F.lag("op").over(Window.partitionBy("id").orderBy("seq"))
+    changes = log.withColumn("before", before)
+    count = lambda c, name: F.count(F.when(c, 1)).alias(name)
+    return changes.agg(count(F.col("op") == CREATE, "creations"), count((F.col("op") == DELETE) & (F.col("before") == CREATE), "deletions"))
 
 
 def rewrite_due(creations: Column, deletions: Column, threshold: int = THRESHOLD, ratio: int = RATIO) -> Column:
