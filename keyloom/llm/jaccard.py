@@ -8,14 +8,16 @@ when percent of their union or more is shared; result rows carry the component o
     tell common shingles from the rest. Its size is fixed. It sets only the order of shingles
     (rare ones first) and the estimates of step 2, so it can't change a result.
  2. Prefixes: with t the least overlap that n shingles need, the first n - t + l shingles of two
-    documents that link share l or more. Each document takes the l from 1 to MOST whose estimated
+    documents that link share l or more. Each document takes the l from 1 to MOST (which costs at
+    most MOST more postings, and only lets more candidates through) whose estimated
     cost (postings read, and candidates that share l of them by chance, times their size) is
     least. Equal sets are one class from here on.
  3. Candidates: in lists of up to SHORT postings all pairs of fitting sizes, counted by pair; a
     pair needs min(l, l') shared shingles, of which each long list that both stand in may be one.
     Longer lists give each member's pair with one pivot, the member nearest the list's core.
- 4. Verification: both whole sets are compared. They come from one more pass over the texts, which
-    drops those outside a bitmap (of fixed size) of the candidates before anything is shuffled.
+ 4. Verification: first by parity bitmaps of about n bits, of which two sets differ in no more bits
+    than in shingles; then both whole sets are compared. They come from one more pass over the texts,
+    which drops those outside a bitmap (of fixed size) of the candidates before anything is shuffled.
  5. Components by alternating large and small stars.
  6. Members of long lists that are not yet in their pivot's component are paired with the list's
     members in others (by size and position of the shingle) and verified likewise: a pair inside
@@ -43,9 +45,9 @@ from .common import map_rows, small_batches, texts
 WIDTH, PERCENT = 3, 90
 CELLS, BLOCKS = 1 << 20, 64
 #: Greatest l; postings of a short list; what one more posting of one's own costs, in postings read.
-MOST, SHORT, OWN = 4, 64, 8
+MOST, SHORT, OWN = 64, 64, 8
 BITMAP = 1 << 23
-_WORDS = 1 << 20  # of a worker's cache
+_WORDS = 1 << 17  # of a worker's cache
 
 
 class _Hashes(dict):
@@ -85,8 +87,8 @@ def _cell(x: np.ndarray) -> np.ndarray:
     return (x >> np.uint64(64 - CELLS.bit_length() + 1)).astype(np.int64)
 
 
-def sketch(docs: DataFrame, width: int = WIDTH) -> np.ndarray:
-    """By cell, 0 or the binary logarithm of a count that stands out."""
+def sketch(docs: DataFrame, width: int = WIDTH) -> tuple[np.ndarray, int]:
+    """By cell, 0 or the binary logarithm of a count that stands out; and the sum of all counts."""
     spark = docs.sparkSession
     small_batches(spark)
     size = CELLS // BLOCKS
@@ -125,7 +127,7 @@ def sketch(docs: DataFrame, width: int = WIDTH) -> np.ndarray:
     for r in rows:
         counts[r["block"] * size : (r["block"] + 1) * size] = np.frombuffer(zlib.decompress(r["counts"]), np.int64)
     usual = counts.mean()
-    return np.where(counts > usual + 6 * math.sqrt(usual) + 4, np.log2(np.maximum(counts, 1)).astype(np.int64), 0).astype(np.uint8)
+    return np.where(counts > usual + 6 * math.sqrt(usual) + 4, np.log2(np.maximum(counts, 1)).astype(np.int64), 0).astype(np.uint8), int(counts.sum())
 
 
 def ordered(text: str | None, levels: np.ndarray, width: int = WIDTH) -> np.ndarray:
@@ -139,44 +141,64 @@ def least(n, percent: int):
     return -(-percent * n // 100)
 
 
-def matches_wanted(found: np.ndarray, levels: np.ndarray, documents: int, percent: int) -> int:
-    """The l of least estimated cost for this document."""
+def matches_wanted(found: np.ndarray, levels: np.ndarray, documents: int, total: int, percent: int) -> int:
+    """The l of least estimated cost for this document, among `documents` with `total` shingles."""
     n = len(found)
     first = n - least(n, percent)
-    lists = np.cumsum(np.exp2(levels[_cell(found[: first + MOST])].astype(float)))
+    lists = np.cumsum(np.exp2(np.maximum(levels[_cell(found[: first + MOST])], 1).astype(float)))
     best, chosen = math.inf, 1
     for want in range(1, min(MOST, n - first) + 1):
         read = lists[first + want - 1]
-        mean = read / max(documents, 1)
-        # others that hold `want` of this prefix by chance: the tail of a Poisson count
-        chance = max(0.0, 1 - math.exp(-mean) * sum(mean**i / math.factorial(i) for i in range(want))) if mean > 1e-3 else mean**want / math.factorial(want)
+        # a posting read falls to each document of this size by its share of all shingles
+        mean = read * n / max(total, 1)
+        # others that hold `want` of this prefix by chance: the tail of a Poisson count, by its first terms
+        term = math.exp(-mean + want * math.log(mean) - math.lgamma(want + 1))
+        chance = min(1.0, term / (1 - mean / (want + 1)) if mean < want else 1.0)
         if (cost := OWN * want + read + n * documents * chance) < best:
             best, chosen = cost, want
+        elif cost > 2 * best:
+            break
     return chosen
 
 
-def prefixes(docs: DataFrame, levels: np.ndarray, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n, digest of the set, l and the prefix for it."""
-    shared = docs.sparkSession.sparkContext.broadcast((levels, docs.count()))
+def parity(found: np.ndarray) -> np.ndarray:
+    """Which of the slots 0 .. 2^k - 1, k least with 2^k >= n (64 at least), hold an odd number of the set's hashes; as bytes."""
+    size = max(64, 1 << (len(found) - 1).bit_length())
+    return np.packbits(np.bincount((found & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1, bitorder="little")
+
+
+def differ(x: np.ndarray, y: np.ndarray) -> int:
+    """A lower bound of the size of the symmetric difference of two sets, by their parities; the longer one is folded."""
+    while len(x) != len(y):
+        if len(x) < len(y):
+            x, y = y, x
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def prefixes(docs: DataFrame, levels: np.ndarray, total: int, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n, digest of the set, its parity bits, l and the prefix for it."""
+    shared = docs.sparkSession.sparkContext.broadcast((levels, docs.count(), total))
 
     def make():
-        levels, documents = shared.value
+        levels, documents, total = shared.value
 
         def step(rows):
-            out = {k: [] for k in ("doc_id", "n", "digest", "l", "prefix")}
+            out = {k: [] for k in ("doc_id", "n", "digest", "bits", "l", "prefix")}
             for i, text in zip(rows["doc_id"], rows["text"]):
                 found = ordered(text, levels, width)
-                want = matches_wanted(found, levels, documents, percent) if len(found) else 0
+                want = matches_wanted(found, levels, documents, total, percent) if len(found) else 0
                 out["doc_id"].append(i)
                 out["n"].append(len(found))
                 out["digest"].append(xxhash.xxh3_128_digest(found.tobytes()))
+                out["bits"].append(parity(found).tobytes() if want else None)
                 out["l"].append(want)
                 out["prefix"].append(found[: len(found) - least(len(found), percent) + want].view(np.int64) if want else [])
             return out
 
         return step
 
-    return map_rows(docs, "doc_id long, n int, digest binary, l int, prefix array<long>", make)
+    return map_rows(docs, "doc_id long, n int, digest binary, bits binary, l int, prefix array<long>", make)
 
 
 def sets(docs: DataFrame, wanted: DataFrame, levels: np.ndarray, width: int, percent: int) -> DataFrame:
@@ -202,8 +224,28 @@ def sets(docs: DataFrame, wanted: DataFrame, levels: np.ndarray, width: int, per
     return map_rows(docs.withColumnRenamed("doc_id", "id").withColumn("slot", slot), "id long, members binary", make)
 
 
-def verified(pairs: DataFrame, docs: DataFrame, levels: np.ndarray, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b, l) that link: by l shared shingles in the prefixes, then by the whole sets."""
+def hopeful(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b, l) whose parity bits (id, n, bits) let them link."""
+    left = pairs.join(bits.withColumnsRenamed({"id": "a", "n": "m", "bits": "x"}), "a")
+    both = left.join(bits.withColumnsRenamed({"id": "b", "bits": "y"}), "b").select("a", "b", "l", "m", "n", "x", "y")
+
+    def make():
+        def step(rows):
+            keep = [
+                i
+                for i, (m, n, x, y) in enumerate(zip(rows["m"], rows["n"], rows["x"], rows["y"]))
+                if differ(np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)) * (100 + percent) <= (m + n) * (100 - percent)
+            ]
+            return {k: [rows[k][i] for i in keep] for k in ("a", "b", "l")}
+
+        return step
+
+    return map_rows(both, "a long, b long, l int", make).distinct()
+
+
+def verified(pairs: DataFrame, bits: DataFrame, docs: DataFrame, levels: np.ndarray, width: int, percent: int) -> DataFrame:
+    """The pairs (a, b, l) that link: by their bits, by l shared shingles in the prefixes, then by the whole sets."""
+    pairs = written(hopeful(pairs, bits, percent), "hopeful")
     members = written(sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")), levels, width, percent), "sets")
     left = pairs.join(members.withColumnsRenamed({"id": "a", "members": "x"}), "a")
     both = left.join(members.withColumnsRenamed({"id": "b", "members": "y"}), "b").select("a", "b", "l", "x", "y")
@@ -225,7 +267,7 @@ def verified(pairs: DataFrame, docs: DataFrame, levels: np.ndarray, width: int,
         return step
 
     links = written(map_rows(both, "a long, b long", make).distinct(), "links")
-    drop_written(docs.sparkSession, members)
+    drop_written(docs.sparkSession, members, pairs)
     return links
 
 
@@ -256,8 +298,8 @@ def link(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFra
     """doc_id, n_shingles, component_id for each row of docs. Writes to the shared folder and runs several jobs."""
     spark: SparkSession = docs.sparkSession
     docs = texts(docs)
-    levels = sketch(docs, width)
-    rows = written(prefixes(docs, levels, width, percent), "prefixes")
+    levels, total = sketch(docs, width)
+    rows = written(prefixes(docs, levels, total, width, percent), "prefixes")
     class_of = rows.filter("n > 0").groupBy("digest").agg(F.min("doc_id").alias("id"))
     each = rows.filter("n > 0").join(class_of.withColumnRenamed("digest", "d"), (F.col("digest") == F.col("d")) & (F.col("doc_id") == F.col("id"))).dropDuplicates(["id", "digest"])
     postings = each.select("id", "n", "l", F.posexplode("prefix").alias("at", "token"))
@@ -276,7 +318,8 @@ def link(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFra
     pivot_l = long.filter(F.col("id") == F.col("pivot.id")).select("token", F.col("l").alias("k")).dropDuplicates(["token"])
     star = long.join(pivot_l, "token").filter((F.col("id") != F.col("pivot.id")) & _sizes_fit("n", "pivot.n", percent)).select(F.least("id", "pivot.id").alias("a"), F.greatest("id", "pivot.id").alias("b"), F.least("l", "k").alias("l"))
     pairs = written(enough.select("a", "b", "l").union(rest.select("a", "b", "l")).union(star).groupBy("a", "b").agg(F.min("l").alias("l")), "pairs")
-    links = verified(pairs, docs, levels, width, percent)
+    bits = each.select("id", "n", "bits")
+    links = verified(pairs, bits, docs, levels, width, percent)
     found = components(links)
 
     # long lists: members outside their pivot's component against those of other components
@@ -290,7 +333,7 @@ def link(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFra
     late = x.join(y, "token").filter((F.col("component_x") != F.col("component_y")) & ((F.col("component_y") == F.col("core_y")) | (F.col("id_x") < F.col("id_y"))) & _sizes_fit("n_x", "n_y", percent) & reach)
     late = written(late.select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b"), F.least("l_x", "l_y").alias("l")).groupBy("a", "b").agg(F.min("l").alias("l")).join(pairs, ["a", "b"], "left_anti"), "late")
     if late.take(1):
-        more = verified(late, docs, levels, width, percent)
+        more = verified(late, bits, docs, levels, width, percent)
         if more.take(1):
             found = components(links.union(more))
     drop_written(spark, shared, pairs, placed, late)

@@ -25,7 +25,7 @@ from .common import map_rows, texts
 
 LIMIT = 4096
 #: Rows sampled for the table; entries of the table; entries and key length of a worker's cache.
-SAMPLE_ROWS, TABLE, CACHE, LONGEST = 2000, 1 << 15, 1 << 18, 64
+SAMPLE_ROWS, TABLE, CACHE, LONGEST = 2000, 1 << 15, 1 << 17, 64
 MARK = "▁"
 PRE_TOKENS = re.compile(r" +[^ \n]*|\n[^ \n]*")
 

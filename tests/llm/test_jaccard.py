@@ -85,9 +85,32 @@ def test_components(spark):
 def test_wanted_grows_with_cost():
     found = np.unique(np.random.default_rng(1).integers(0, 1 << 63, 300).astype(np.uint64))
     rare, common = np.zeros(jaccard.CELLS, np.uint8), np.full(jaccard.CELLS, 9, np.uint8)
-    assert jaccard.matches_wanted(found, rare, 1_000_000, 90) < jaccard.matches_wanted(found, common, 1_000_000, 90) <= jaccard.MOST
+    assert jaccard.matches_wanted(found, rare, 1_000_000, 300_000_000, 90) < jaccard.matches_wanted(found, common, 1_000_000, 300_000_000, 90) <= jaccard.MOST
 
 
 def test_keep_one(odd):
     kept = jaccard.keep_one(odd)
     assert kept.columns == odd.columns and sorted(x.doc_id for x in kept.collect()) == [1, 2, 3, 4, 6, 7, 8, 9, 10, 11]
+
+
+def test_parity_bounds_the_difference():
+    r = np.random.default_rng(2)
+    for n in (1, 60, 64, 65, 500, 1100):
+        x = np.unique(r.integers(0, 1 << 63, n).astype(np.uint64))
+        for drop, add in ((0, 0), (n // 10, 0), (0, n // 9 + 1), (n // 2, n)):
+            y = np.unique(np.concatenate([x[drop:], r.integers(0, 1 << 63, add).astype(np.uint64)]))
+            if len(y):
+                assert jaccard.differ(jaccard.parity(x), jaccard.parity(y)) <= len(np.setxor1d(x, y))
+        assert jaccard.differ(jaccard.parity(x), jaccard.parity(x)) == 0
+
+
+def test_query_equals_sql(spark):
+    import duckdb
+
+    from keyloom.llm import queries
+
+    sf = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{sf}/documents.parquet')")
+    name = "op10_ngram_jaccard_join"
+    assert sorted(map(tuple, queries.QUERIES[name](spark, sf).collect())) == sorted(map(tuple, con.execute(queries.ORACLE_SQL[name]).fetchall()))
