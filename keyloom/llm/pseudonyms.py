@@ -1,7 +1,7 @@
 """Format-preserving pseudonyms of personal numbers and dates. Column expressions only.
 
-Found and validated: payment cards (13 to 19 digits, plain or in fours, Luhn), phone numbers,
-IPv4 addresses (octets to 255), social security numbers (area, group and serial in use), dates
+Found and validated: payment cards (13 to 19 digits, plain or in fours, Luhn), phone numbers
+(with a country code, or three, three and four digits), IPv4 addresses (octets to 255), social security numbers (area, group and serial in use), dates
 (year first, or day or month first, from 1800 to 2199) and e-mail addresses. Each kind's values
 are numbered, and the number goes through a keyed Feistel network over two mixed-radix halves of
 exactly that many values: a permutation of the kind, so equal values stay equal across documents,
@@ -26,7 +26,7 @@ _OUT = r"(?<![0-9A-Za-z.+-])"
 #: One pattern a kind, tried in this order at each place.
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}",
-    "phone": r"(?<![0-9A-Za-z])\+[0-9]{1,3}[ .-]?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9A-Za-z])",
+    "phone": r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?|\([0-9]{3}\) ?[0-9]{3}[ .-]|[0-9]{3}[ .-][0-9]{3}[ .-])[0-9]{4}(?![0-9A-Za-z])",
     "ip": _OUT + r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}(?![0-9A-Za-z]|\.[0-9])",
     "ymd": r"(?<![0-9A-Za-z])[0-9]{4}([-/.])[0-9]{2}\1[0-9]{2}(?![0-9A-Za-z])",
     "ssn": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",

@@ -53,7 +53,7 @@ def new(m):
     x, digits = m, re.sub("[^0-9]", "", m)
     if "@" in x:
         return "email", hashlib.sha256(f"keyloom:email:{x.lower()}".encode()).hexdigest()[:16] + "@redacted.invalid"
-    if x[0] == "+":
+    if x[0] in "+(" or re.fullmatch(r"\d{3}[ .-]\d{3}[ .-]\d{4}", x):
         return "phone", pour(x, digits[:-10] + string("phone", digits[-10:]))
     if re.fullmatch(r"\d+\.\d+\.\d+\.\d+", x):
         p = list(map(int, x.split(".")))
@@ -97,7 +97,7 @@ def brute(text):
 
 TRICKY = [
     "card 4111 1111 1111 1111, 4111-1111-1111-1111 and 4111111111111111; not 4111111111111112", "ip 10.0.0.1 256.1.1.1 1.2.3.4.5 v1.2.3", "on 2024-02-29, 2023-02-29, 31/12/1999, 12/31/1999, 31.04.2020 and 1799-12-31 2199-12-31",
-    "ssn 123-45-6789 000-12-3456 666-12-3456 665-99-9999 667-01-0001 900-12-3456", "+1 (017) 555-7713 +49 123 456 7890 +1-800-555-0100", "é.34@mail7.example.com A.B@x.org @ a@b", "\U0001f600 4111111111111111",
+    "ssn 123-45-6789 000-12-3456 666-12-3456 665-99-9999 667-01-0001 900-12-3456", "+1 (017) 555-7713 +49 123 456 7890 +1-800-555-0100 (212) 555-0187, 212-555-0187 and 212.555.0187; 2125550187 12-555-0187", "é.34@mail7.example.com A.B@x.org @ a@b", "\U0001f600 4111111111111111",
 ]
 
 
