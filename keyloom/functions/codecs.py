@@ -102,6 +102,10 @@ def epoch_millis(ts: Column) -> Column:
     return F.unix_millis(ts.cast("timestamp"))
 
 
+def now_millis() -> Column:
+    return epoch_millis(F.current_timestamp())
+
+
 def time_string(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM-dd-HHmmss")
 

@@ -104,6 +104,11 @@ def layout(packed: DataFrame, options: Options = Options()) -> DataFrame:
     )
 
 
+def first_entries(packed: DataFrame) -> DataFrame:
+    """table_id, block_id, key, value of each block's first entry: a look at what blocks hold."""
+    return packed.groupBy("table_id", "block_id").agg(F.min(F.struct("key", "value")).alias("x")).select("table_id", "block_id", "x.key", "x.value")
+
+
 def index(packed: DataFrame, options: Options = Options()) -> DataFrame:
     """table_id, block_id, sep_key, offset, length: the separator is not below the block's keys and below the next block's."""
     blocks = layout(packed, options)

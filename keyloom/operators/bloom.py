@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import math
+from abc import ABC, abstractmethod
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.bytes import MASK32, hash32, let, rotr32
+from ..options import FILTER_NAME
 
 #: Ln 2 as the filter format rounds it, limits of the hash count, least bits.
 LN2, LEAST_HASHES, MOST_HASHES, LEAST_BITS = 0.69314718056, 1, 30, 64
@@ -67,3 +71,33 @@ def prefiltered_semi_join(left: DataFrame, right: DataFrame, left_on: str, right
     hopeful = probe(left.select(F.col(left_on).alias("key")).distinct(), set_bits, size, k).filter("may_match").select("key")
     exact = hopeful.join(right.select(F.col(right_on).alias("key")).distinct(), "key", "left_semi")
     return left.join(exact, left[left_on] == exact["key"], "left_semi")
+
+
+class FilterPolicy(ABC):
+    """A filter of a table's keys, stored under its name: it may match keys that are not there, and matches all that are."""
+
+    name: str
+
+    @abstractmethod
+    def build(self, keys: DataFrame): ...
+
+    @abstractmethod
+    def probe(self, probes: DataFrame, built, column: str = "key") -> DataFrame:
+        """probes with may_match."""
+
+
+class BloomPolicy(FilterPolicy):
+    name = FILTER_NAME
+
+    def __init__(self, bits: int):
+        self.bits = bits
+
+    @classmethod
+    def of_rate(cls, rate: float) -> BloomPolicy:
+        return cls(math.ceil(-math.log(rate) / (LN2 * LN2)))
+
+    def build(self, keys: DataFrame):
+        return build(keys, self.bits)
+
+    def probe(self, probes: DataFrame, built, column: str = "key") -> DataFrame:
+        return probe(probes, *built, column)

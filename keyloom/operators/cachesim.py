@@ -6,6 +6,7 @@ for `capacity` keys. More shards give more tasks.
 
 from __future__ import annotations
 
+from abc import ABC, abstractmethod
 from collections import OrderedDict
 from collections.abc import Iterator
 
@@ -20,7 +21,27 @@ def shard(key: Column, shards: int) -> Column:
     return F.pmod(key, F.lit(shards)).cast("int")
 
 
-class LruCache:
+class CachePolicy(ABC):
+    """What a shard keeps. Another policy can be given to accesses()."""
+
+    evicted = 0
+
+    @abstractmethod
+    def get(self, key):
+        """The value, or None."""
+
+    @abstractmethod
+    def insert(self, key, value=True):
+        """The key that had to go, or None."""
+
+    @abstractmethod
+    def erase(self, key) -> bool: ...
+
+    @abstractmethod
+    def prune(self) -> None: ...
+
+
+class LruCache(CachePolicy):
     """Keys and values; an insert of a key that is there replaces its value and makes it the newest."""
 
     def __init__(self, capacity: int):
@@ -48,17 +69,17 @@ class LruCache:
         self.items.clear()
 
 
-def accesses(log: DataFrame, options: Options = Options()) -> DataFrame:
+def accesses(log: DataFrame, options: Options = Options(), policy: type[CachePolicy] = LruCache) -> DataFrame:
     """log (seq, key: integers) with shard, hit (it was cached) and evicted (the key that made room, or null)."""
     own = log.select(F.col("seq").cast("long").alias("seq"), F.col("key").cast("long").alias("key")).withColumn("shard", shard(F.col("key"), options.cache_shards))
     ordered = own.repartition(options.cache_shards, "shard").sortWithinPartitions("shard", "seq")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        caches: dict[int, LruCache] = {}
+        caches: dict[int, CachePolicy] = {}
         for pdf in batches:
             hits, gone = [], []
             for s, key in zip(pdf["shard"], pdf["key"]):
-                cache = caches.setdefault(s, LruCache(options.cache_capacity))
+                cache = caches.setdefault(s, policy(options.cache_capacity)) if s not in caches else caches[s]
                 hits.append(cache.get(key) is not None)
                 gone.append(None if hits[-1] else cache.insert(key))
             yield pdf.assign(hit=hits, evicted=pd.array(gone, dtype="Int64"))
