@@ -54,12 +54,21 @@ def paths(nodes: DataFrame, top: int = 1) -> DataFrame:
     real = ids.select("tree", F.col("node").alias("parent"), F.lit(1).alias("there"))
     here = written(ids.join(real, ["tree", "parent"], "left").select("tree", "node", F.when(F.col("there") == 1, F.col("parent")).alias("up"), F.col("score").alias("total"), F.lit(1).cast("long").alias("depth")), "up")
     longest = nodes.groupBy("tree").agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first()["n"] or 1
-    steps = [here]
+    # each step joins only what has not reached its root; what has stays in the parts before
+    parts, steps = [here.filter("up IS NULL")], []
+    active = here.filter("up IS NOT NULL")
     for _ in range((longest - 1).bit_length()):
-        far = steps[-1].select("tree", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("total").alias("total2"), F.col("depth").alias("depth2"))
-        joined = steps[-1].join(far, ["tree", "up"], "left")
-        steps.append(written(joined.select("tree", "node", F.col("up2").alias("up"), (F.col("total") + F.coalesce("total2", F.lit(0.0))).alias("total"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth")), "up"))
-    full = steps[-1].filter("up IS NULL")
+        steps.append(active)
+        known = active
+        for part in parts:
+            known = known.union(part)
+        far = known.select("tree", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("total").alias("total2"), F.col("depth").alias("depth2"))
+        joined = written(active.join(far, ["tree", "up"]).select("tree", "node", F.col("up2").alias("up"), (F.col("total") + F.col("total2")).alias("total"), (F.col("depth") + F.col("depth2")).alias("depth")), "up")
+        parts.append(joined.filter("up IS NULL"))
+        active = joined.filter("up IS NOT NULL")
+    full = parts[0]
+    for part in parts[1:]:
+        full = full.union(part)
     parents = here.filter("up IS NOT NULL").select("tree", F.col("up").alias("node"))
     leaves = full.join(parents, ["tree", "node"], "left_anti").withColumn("branch_score", F.col("total") / F.col("depth"))
     if top == 1:
@@ -68,8 +77,8 @@ def paths(nodes: DataFrame, top: int = 1) -> DataFrame:
         rank = F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("branch_score"), "node"))
         best = leaves.withColumn("rank", rank).filter(F.col("rank") <= top).select("tree", F.col("node").alias("leaf"), "rank", "branch_score")
     held = best.withColumn("node", F.col("leaf"))
-    for step in reversed(steps[:-1]):
-        held = written(held.union(held.join(step.select("tree", "node", "up"), ["tree", "node"]).filter("up IS NOT NULL").select("tree", "leaf", "rank", "branch_score", F.col("up").alias("node"))), "held")
+    for step in reversed(steps):
+        held = written(held.union(held.join(step.select("tree", "node", "up"), ["tree", "node"]).select("tree", "leaf", "rank", "branch_score", F.col("up").alias("node"))), "held")
     return held.join(full.select("tree", "node", "depth"), ["tree", "node"]).select("tree", "leaf", "rank", "branch_score", "node", "depth")
 
 
