@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.codecs import separator, shared_length, varint_length
 from ..options import TRAILER, Options
-from .ordered import Buckets, neighbours, numbered
+from .ordered import Buckets, seek_ge_batch, walked
 
 
 #: Restarts that one task sums up.
@@ -21,7 +21,7 @@ SPAN = 1 << 20
 
 def entries(df: DataFrame, options: Options = Options()) -> DataFrame:
     """key, value, restart_id, shared, non_shared, entry_size: each entry as one long block would encode it."""
-    placed = numbered(df).join(neighbours(df).select("key", "previous_key"), "key")
+    placed = walked(df)
     at = F.col("position") - 1
     first = at % options.restart_interval == 0
     shared = F.when(first | F.col("previous_key").isNull(), 0).otherwise(shared_length(F.col("previous_key"), F.col("key")))
@@ -119,8 +119,6 @@ def index(packed: DataFrame, options: Options = Options()) -> DataFrame:
 
 def two_level_seek(packed: DataFrame, targets: DataFrame, options: Options = Options()) -> DataFrame:
     """target, key, value: the index finds the table and block, whose entries then give the first key not below the target."""
-    from .ordered import seek_ge_batch
-
     blocks = index(packed, options).select(F.col("sep_key").alias("key"), F.struct("table_id", "block_id").alias("value"))
     placed = seek_ge_batch(blocks, targets).select("target", F.col("value.table_id").alias("table_id"), F.col("value.block_id").alias("block_id")).distinct()
     inside = placed.join(packed, ["table_id", "block_id"]).filter(F.col("key") >= F.col("target")).groupBy("target").agg(F.min("key").alias("key"), F.min_by("value", "key").alias("value"))

@@ -19,7 +19,7 @@ class Buckets:
     """Ranges of keys with about `rows` rows each."""
 
     def __init__(self, df: DataFrame, key: str = "key", rows: int = ROWS, most: int = MOST):
-        n = df.count()
+        n = self.rows = df.count()
         count = min(most, n // rows + 1)
         self.bounds: list = []
         if count > 1:
@@ -55,37 +55,34 @@ def _kv(df: DataFrame) -> DataFrame:
     return df.select("key", "value")
 
 
-def numbered(df: DataFrame, descending: bool = False, buckets: Buckets | None = None) -> DataFrame:
-    """key, value, position (from 1) in key order, or in reverse."""
-    buckets = buckets or Buckets(df)
-    own = _kv(df).withColumn("bucket", buckets.of(F.col("key")))
-    order = F.desc("key") if descending else F.asc("key")
-    ranked = own.withColumn("position", F.row_number().over(Window.partitionBy("bucket").orderBy(order)).cast("long"))
-    if not buckets.bounds:
-        return ranked.select("key", "value", "position")
-    before, seen = [], 0
-    counts = own.groupBy("bucket").count().orderBy(F.desc("bucket") if descending else "bucket").collect()
-    for r in counts:
-        before.append((r["bucket"], seen))
-        seen += r["count"]
-    offsets = df.sparkSession.createDataFrame(before, "bucket int, before long")
-    return ranked.join(F.broadcast(offsets), "bucket").select("key", "value", (F.col("position") + F.col("before")).alias("position"))
-
-
-def neighbours(df: DataFrame, buckets: Buckets | None = None) -> DataFrame:
-    """key, value and the entries beside it: next_key, next_value, previous_key, previous_value (null past the ends)."""
+def walked(df: DataFrame, buckets: Buckets | None = None) -> DataFrame:
+    """key, value, position (from 1, in key order) and the entries beside each: next_key, next_value, previous_key, previous_value (null past the ends). One sort."""
     buckets = buckets or Buckets(df)
     own = _kv(df).withColumn("bucket", buckets.of(F.col("key")))
     w = Window.partitionBy("bucket").orderBy("key")
     entry = F.struct("key", "value")
-    beside = own.withColumns({"after": F.lead(entry).over(w), "before": F.lag(entry).over(w)})
+    beside = own.withColumns({"position": F.row_number().over(w).cast("long"), "after": F.lead(entry).over(w), "before": F.lag(entry).over(w)})
     if buckets.bounds:
-        rows = _summaries(own)
-        edges = [(r["bucket"], rows[i + 1]["first"] if i + 1 < len(rows) else None, rows[i - 1]["last"] if i else None) for i, r in enumerate(rows)]
+        rows, edges, seen = _summaries(own), [], 0
+        for i, r in enumerate(rows):
+            edges.append((r["bucket"], seen, rows[i + 1]["first"] if i + 1 < len(rows) else None, rows[i - 1]["last"] if i else None))
+            seen += r["n"]
         kind = own.select(entry.alias("x")).schema["x"].dataType.simpleString()
-        beside = beside.join(F.broadcast(df.sparkSession.createDataFrame(edges, f"bucket int, edge_after {kind}, edge_before {kind}")), "bucket")
-        beside = beside.withColumns({"after": F.coalesce("after", "edge_after"), "before": F.coalesce("before", "edge_before")})
-    return beside.select("key", "value", F.col("after.key").alias("next_key"), F.col("after.value").alias("next_value"), F.col("before.key").alias("previous_key"), F.col("before.value").alias("previous_value"))
+        beside = beside.join(F.broadcast(df.sparkSession.createDataFrame(edges, f"bucket int, earlier long, edge_after {kind}, edge_before {kind}")), "bucket")
+        beside = beside.withColumns({"position": F.col("position") + F.col("earlier"), "after": F.coalesce("after", "edge_after"), "before": F.coalesce("before", "edge_before")})
+    return beside.select("key", "value", "position", F.col("after.key").alias("next_key"), F.col("after.value").alias("next_value"), F.col("before.key").alias("previous_key"), F.col("before.value").alias("previous_value"))
+
+
+def numbered(df: DataFrame, descending: bool = False, buckets: Buckets | None = None) -> DataFrame:
+    """key, value, position (from 1) in key order, or in reverse."""
+    buckets = buckets or Buckets(df)
+    position = F.lit(buckets.rows + 1) - F.col("position") if descending else F.col("position")
+    return walked(df, buckets).select("key", "value", position.cast("long").alias("position"))
+
+
+def neighbours(df: DataFrame, buckets: Buckets | None = None) -> DataFrame:
+    """key, value, next_key, next_value, previous_key, previous_value."""
+    return walked(df, buckets).drop("position")
 
 
 def seek_ge(df: DataFrame, target) -> DataFrame:
