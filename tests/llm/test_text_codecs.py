@@ -84,6 +84,7 @@ def test_bpe_query(request, name):
         ids = enc.encode_ordinary(r.text or "")
         want.append((r.doc_id, len(ids), hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest(), hashlib.sha256((r.text or "").encode()).hexdigest()))
     assert got == sorted(want)
+    assert sorted(map(tuple, bpe.digests(bpe.round_trip(docs, RANKS, public_tokenizers.PATTERN)).collect())) == got
 
 
 def test_pre_tokens_add_up(monkeypatch):
