@@ -109,14 +109,12 @@ def _seek_batch(df: DataFrame, targets: DataFrame, forward: bool, buckets: Bucke
     entries = _kv(df).select(F.col("key").alias("at"), F.struct("key", "value").alias("entry"))
     wanted = targets.select("target").distinct()
     both = entries.unionByName(wanted.select(F.col("target").alias("at"), F.lit(None).cast(kind).alias("entry"))).withColumn("bucket", buckets.of(F.col("at")))
-    # a target meets an entry of its own key when it looks forward (>=), and not when it looks back (<)
+    # a target meets an entry of its own key when it looks forward (>=), and not when it looks back (<); frames
+    # that end at the current row take linear time, those that start there do not: forward is backward in reverse
     is_target = F.col("entry").isNull().cast("int")
-    if forward:
-        w = Window.partitionBy("bucket").orderBy("at", F.desc(is_target)).rowsBetween(Window.currentRow, Window.unboundedFollowing)
-        found = F.first("entry", ignorenulls=True).over(w)
-    else:
-        w = Window.partitionBy("bucket").orderBy("at", F.desc(is_target)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        found = F.last("entry", ignorenulls=True).over(w)
+    order = (F.desc("at"), F.asc(is_target)) if forward else (F.asc("at"), F.desc(is_target))
+    w = Window.partitionBy("bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = F.last("entry", ignorenulls=True).over(w)
     hits = both.withColumn("found", found).filter(is_target == 1)
     if buckets.bounds:
         rows = {r["bucket"]: r for r in _summaries(_kv(df).withColumn("bucket", buckets.of(F.col("key"))))}
