@@ -20,7 +20,7 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
 
 
 def texts(docs: DataFrame) -> DataFrame:
-    """doc_id and text alone, null texts as empty: extra columns of any name stay out of the way."""
+    """doc_id and text alone, null texts as empty, null ids null: extra columns of any name stay out of the way."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 

@@ -24,7 +24,9 @@ when percent of their union or more is shared; result rows carry the component o
     one component can't add to it, so no link between components is missed.
 
 Null texts and texts without words have an empty set and link with nothing. Repeated rows and
-equal texts are in one component; every input row gives a row. Extra columns are ignored. An empty
+equal texts are in one component; every input row gives a row. A row without an id is in the
+component of the rows of its set that have one; its component is null where there is none, and it
+links with no other set. Extra columns are ignored. An empty
 table gives an empty result.
 """
 
