@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.codecs import separator, shared_length, varint_length
 from ..options import TRAILER, Options
+from ..session import ship
 from .ordered import Buckets, seek_ge_batch, walked
 
 
@@ -65,6 +66,7 @@ def pack(df: DataFrame, options: Options = Options(), buckets: Buckets | None =
     """key, value, table_id, block_id, and size of the block when the entry was added: a block closes at block_size or above."""
     buckets = buckets or Buckets(df)
     kinds = {f.name: f.dataType.simpleString() for f in df.select("key", "value").schema}
+    ship(df.sparkSession)
     own = df.select("key", "value").withColumn("table_id", buckets.of(F.col("key"))).filter(F.octet_length("key") > 0)
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..options import Options
+from ..session import ship
 
 
 def shard(key: Column, shards: int) -> Column:
@@ -72,6 +73,7 @@ class LruCache(CachePolicy):
 def accesses(log: DataFrame, options: Options = Options(), policy: type[CachePolicy] = LruCache) -> DataFrame:
     """log (seq, key: integers) with shard, hit (it was cached) and evicted (the key that made room, or null)."""
     own = log.select(F.col("seq").cast("long").alias("seq"), F.col("key").cast("long").alias("key")).withColumn("shard", shard(F.col("key"), options.cache_shards))
+    ship(log.sparkSession)
     ordered = own.repartition(options.cache_shards, "shard").sortWithinPartitions("shard", "seq")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

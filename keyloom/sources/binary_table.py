@@ -18,6 +18,7 @@ from ..functions.bytes import CRC_DELTA, CRC_TABLE, HASH_FACTOR, HASH_SEED
 from ..operators.bloom import MOST_HASHES, hash_count, size_bits
 from ..operators.ordered import Buckets
 from ..options import FILTER_NAME, FOOTER, MAGIC, TRAILER, Options
+from ..session import ship
 
 _M = 0xFFFFFFFF
 
@@ -216,6 +217,7 @@ class Table:
 def pack(df: DataFrame, options: Options = Options(), buckets: Buckets | None = None) -> DataFrame:
     """table_id, entries, content: one file of each key range; ranges are packed in parallel."""
     buckets = buckets or Buckets(df)
+    ship(df.sparkSession)
     own = df.select(F.col("key").cast("binary").alias("key"), F.coalesce(F.col("value").cast("binary"), F.lit(b"")).alias("value"), buckets.of(F.col("key")).alias("table_id"))
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -233,6 +235,7 @@ def unpack(files: DataFrame) -> DataFrame:
             for content in pdf["content"]:
                 yield pd.DataFrame(list(Table(bytes(content))), columns=["key", "value"])
 
+    ship(files.sparkSession)
     return files.select("content").mapInPandas(run, "key binary, value binary")
 
 
