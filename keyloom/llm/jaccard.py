@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import drop_written, written
+from ..session import drop_written, ship, written
 from .common import map_rows, small_batches, texts
 
 WIDTH, PERCENT = 3, 90
@@ -93,6 +93,7 @@ def sketch(docs: DataFrame, width: int = WIDTH) -> tuple[np.ndarray, int]:
     """By cell, 0 or the binary logarithm of a count that stands out; and the sum of all counts."""
     spark = docs.sparkSession
     small_batches(spark)
+    ship(spark)
     size = CELLS // BLOCKS
     schema = pa.schema([("block", pa.int32()), ("counts", pa.binary())])
 
