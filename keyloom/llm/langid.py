@@ -4,7 +4,8 @@ fit() takes a bounded sample of labelled rows (per_language rows of each languag
 from the middle of each, least by a hash of the id) as raw-content dictionaries. predict() lowers
 the whole text, makes each run of other characters than letters a blank, cuts the rest into pieces
 of PIECE_BYTES, compresses each with every dictionary and adds up: pieces keep a long text from
-becoming its own dictionary. To the sum comes the length of the language's own code word, by its
+becoming its own dictionary, and none counts for more than CLIP times its least size, so a passage
+that happens to stand in one dictionary can't outweigh the rest. To the sum comes the length of the language's own code word, by its
 share of the labelled rows, which decides where texts are too short to tell. Where the best is
 smaller than the next by less than min_margin of it, the row is marked as rejected.
 
@@ -27,6 +28,8 @@ from .common import ddl, map_rows
 PER_LANGUAGE, SAMPLE_BYTES, PIECE_BYTES = 64, 1024, 512
 #: Lazy matching with fixed tables: a preset level would choose other ones for each dictionary's size.
 ZSTD = {"window_log": 20, "hash_log": 17, "chain_log": 17, "search_log": 3, "min_match": 4, "strategy": zstandard.STRATEGY_LAZY}
+#: A piece's size is at most this many times its least.
+CLIP = 1.5
 #: Below this share of the smaller size, a margin is narrow. Scores saturate over STEEP.
 MIN_MARGIN, STEEP = 0.002, 25.0
 UNKNOWN = "und"
@@ -73,8 +76,14 @@ class Classifier:
 
     def sizes(self, text: str) -> list[tuple[float, str]]:
         data = letters(text)
-        pieces = [data[i : i + self.piece] for i in range(0, len(data), self.piece)]
-        return [(label + sum(map(len, map(shrink, pieces))), lang) for lang, label, shrink in self.by_lang]
+        totals = [label for _, label, _ in self.by_lang]
+        for i in range(0, len(data), self.piece):
+            piece = data[i : i + self.piece]
+            own = [len(shrink(piece)) for _, _, shrink in self.by_lang]
+            most = CLIP * min(own)
+            for k, size in enumerate(own):
+                totals[k] += size if size < most else most
+        return [(total, lang) for total, (lang, _, _) in zip(totals, self.by_lang)]
 
     def __call__(self, text: str | None) -> tuple[str, float]:
         """The language, and by what share of its size the next is larger."""
