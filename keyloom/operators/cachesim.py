@@ -81,7 +81,9 @@ def accesses(log: DataFrame, options: Options = Options(), policy: type[CachePol
         for pdf in batches:
             hits, gone = [], []
             for s, key in zip(pdf["shard"], pdf["key"]):
-                cache = caches.setdefault(s, policy(options.cache_capacity)) if s not in caches else caches[s]
+                if s not in caches:
+                    caches[s] = policy(options.cache_capacity)
+                cache = caches[s]
                 hits.append(cache.get(key) is not None)
                 gone.append(None if hits[-1] else cache.insert(key))
             yield pdf.assign(hit=hits, evicted=pd.array(gone, dtype="Int64"))
