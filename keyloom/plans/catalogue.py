@@ -217,7 +217,7 @@ b AS (SELECT block_id, count(*) AS n_entries, max(size) AS size, min(key) AS fir
 
 @query(f"{_PACKED} SELECT block_id, n_entries, CAST(ceil(n_entries / 16) AS BIGINT) AS n_restarts, size, first_key, last_key FROM b")
 def block_layout(spark, sf):
-    return blocks.layout(blocks.pack(customers(spark, sf))).drop("table_id")
+    return blocks.layout(blocks.pack(customers(spark, sf)))
 
 
 def _separator_sql(start: str, limit: str) -> str:
@@ -230,7 +230,7 @@ def _separator_sql(start: str, limit: str) -> str:
 @query(f"""{_PACKED}, x AS (SELECT *, lead(first_key) OVER (ORDER BY block_id) AS nxt FROM b)
 SELECT block_id, {_separator_sql('last_key', 'nxt')} AS sep_key, CAST(coalesce(sum(size + 5) OVER (ORDER BY block_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS \"offset\", size AS length FROM x""")
 def block_index(spark, sf):
-    return blocks.index(blocks.pack(customers(spark, sf))).drop("table_id")
+    return blocks.index(blocks.pack(customers(spark, sf)))
 
 
 @query(f"SELECT t.target, kv.key, kv.value FROM {TARGETS_SQL} t ASOF LEFT JOIN {CUSTOMERS_SQL} kv ON t.target <= kv.key")
