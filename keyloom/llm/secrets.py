@@ -32,7 +32,8 @@ PATTERNS = {
     "access": (r"AKIA[A-Z0-9]+", 18),
     "hex": (r"[0-9a-f]{16,}", 16),
 }
-CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+#: '=' only ends a candidate, as padding: what follows it (NAME=value) is one of its own.
+CANDIDATE = r"[A-Za-z0-9+/_-]{20,}={0,2}"
 #: Encodings from the narrowest: alphabet in order of code. The URL-safe signs count as the other two.
 ENCODINGS = {
     "hex": "0123456789abcdef",

@@ -49,6 +49,20 @@ def test_battery_tells_keys_from_words(spark):
     assert sum(i in found for i in range(len(keys), len(keys + words))) / len(words) < 0.05
 
 
+def test_values_after_an_equals_sign(spark):
+    """Keys of environment files, exports and query strings are found, and only they are cut."""
+    r = random.Random(6)
+    forms = ("SIGNING_KEY={}", "AWS_SECRET_ACCESS_KEY={}", "export DB_CREDENTIAL_02={}", "GET /a?page=2&sig={}&x=1", "--key={}", "a={}==", "key=={}", "SIGNING_KEY='{}'")
+    keys = ["".join(r.choice(secrets.ENCODINGS["base62"]) for _ in range(40)) for _ in range(20 * len(forms))]
+    docs = spark.createDataFrame([(i, forms[i % len(forms)].format(k)) for i, k in enumerate(keys)], "doc_id long, text string")
+    out = {x.doc_id: x.text for x in secrets.redact(docs).collect()}
+    for n, form in enumerate(forms):
+        mine = [i for i in range(len(keys)) if i % len(forms) == n]
+        cut = [i for i in mine if keys[i] not in out[i]]
+        assert len(cut) / len(mine) > 0.8, form
+        assert all(out[i] == form.format("[SECRET]").replace("]==", "]") for i in cut)
+
+
 def test_p_values_are_calibrated(spark):
     r = random.Random(5)
     rows = [([r.randrange(16) for _ in range(64)],) for _ in range(2000)]
