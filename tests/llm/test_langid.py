@@ -1,3 +1,4 @@
+import random
 import zlib
 
 from pyspark.sql import functions as F
@@ -34,3 +35,19 @@ def test_stage_keeps_columns(odd, empty):
     kept = langid.keep_identified(odd)
     assert kept.columns == odd.columns and not {1, 2, 9, 11} & {r.doc_id for r in kept.collect()}
     assert langid.keep_identified(empty).collect() == []
+
+
+def test_foreign_and_random_texts_are_rejected(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = langid.fit(docs)
+    r = random.Random(1)
+    word = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    foreign = [
+        "x", "Сегодня утром в городе было очень холодно, но дети всё равно пошли гулять в парк.", "今天早上城里很冷，但是孩子们还是去公园散步了，大家都很高兴。",
+        "Dzisiaj rano w mieście było bardzo zimno, ale dzieci i tak poszły na spacer do parku.", "Bu sabah şehirde hava çok soğuktu ama çocuklar yine de parka yürüyüşe gittiler.",
+    ]
+    texts = foreign + [" ".join([t] * 40) for t in foreign] + [word(n) for n in (40, 100, 300, 900) for _ in range(10)] + [" ".join(word(r.randint(2, 9)) for _ in range(n)) for n in (8, 30, 120) for _ in range(10)]
+    got = langid.predict(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()
+    assert sum(x.rejected for x in got) / len(got) > 0.97 and all(x.rejected for x in got if x.doc_id < 5)
+    held = langid.predict(docs.filter(langid.held_out(F.col("doc_id"))), model).join(docs.select("doc_id", "lang"), "doc_id").collect()
+    assert len(held) > 200 and sum(x.rejected for x in held if x.lang == x.lang_pred) / len(held) < 0.02
