@@ -3,8 +3,9 @@
 An item of m characters (after normalise()) occurs in a text if some substring of the text is
 within k = floor(rate * m) edits of it. Cut into k + 1 pieces, one piece must then occur exactly:
 an Aho-Corasick automaton over all pieces finds these hits in one pass over the text, and Myers'
-bit-parallel distance verifies the stretch around each. Items below min_chars characters would
-occur by chance: they match only texts that equal them.
+bit-parallel distance verifies the stretch around each. Items below min_chars bytes of UTF-8 would
+occur by chance: they match only texts that equal them. Bytes stand for information: eight Chinese
+or Japanese characters are no less than 24 letters.
 
 The benchmark is taken in blocks of at most about block_bytes, each broadcast on its own, so what
 a worker holds doesn't grow with the benchmark; each block is one pass over the documents.
@@ -75,7 +76,7 @@ class Matcher:
         self.whole, self.items, found = defaultdict(list), [], defaultdict(list)
         for item_id, text in items:
             text = normalise(text)
-            if 0 < len(text) < min_chars:
+            if 0 < len(text.encode()) < min_chars:
                 self.whole[text].append(item_id)
             elif text:
                 k = int(rate * len(text))

@@ -62,3 +62,12 @@ def test_odd_tables(request, spark, name):
     items = spark.createDataFrame([(1, "word " * 20), (2, "x" * 300)], "item_id long, text string")
     got = {(r.doc_id, r.item_id) for r in decontaminate.matches(docs, items).collect()}
     assert got == ({(7, 1), (8, 2)} if name == "odd" else set())
+
+
+def test_items_of_few_wide_characters(spark):
+    """A sentence of fewer than 24 characters but as many bytes is searched for inside texts."""
+    items = [(1, "今天早上城里很冷但是孩子们去公园散步"), (2, "我的名字是花子です"), (3, "公园")]
+    docs = [(1, "他说：今天早上城里很冷但是孩子们去公园散步。然后走了"), (2, "今天早上城里很冷但是孩于们去公园散步"), (3, "x 我的名字是花子です y"), (4, "我的名字是太郎です"), (5, "公园"), (6, "去公园散步")]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert sorted(tuple(x)[:3] for x in decontaminate.matches(d, b).collect()) == [(1, 1, 0), (2, 1, 1), (3, 2, 0), (5, 3, 0)]
+    assert sorted(x.doc_id for x in decontaminate.clean(d, b).collect()) == [4, 6]
