@@ -44,19 +44,26 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir; set here only where it is unset."""
+    """The folder that all executors share: spark.checkpoint.dir. Only a local session, whose executor is the driver, may leave it unset."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        at = current.get() if current.isDefined() else "/tmp/keyloom-checkpoints"
+        if current.isDefined():
+            at = current.get()
+        elif spark.sparkContext.master.startswith("local"):
+            at = os.path.join(tempfile.gettempdir(), "keyloom-checkpoints")
+        else:
+            raise ValueError("spark.checkpoint.dir is unset: name a folder that the driver and all executors share")
     return at.rstrip("/")
 
 
 def written(df: DataFrame, what: str) -> DataFrame:
-    """df, written as Parquet to the shared folder and read again: cuts the lineage and survives lost executors."""
+    """df, written as Parquet to the shared folder and read again: cuts the lineage and survives lost executors. Deleted when the driver ends, if not before."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/keyloom-{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
 
 
