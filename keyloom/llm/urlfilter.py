@@ -2,10 +2,14 @@
 
 judge() splits each url, applies the longest rule that fits, and has the trees judge the others.
 The trees are trained from labelled URLs: those that a rule decides, or rows of `labelled` (url,
-blocked). A bounded sample of them (train_rows, about, least by a hash of the url) is fitted. The
-features are lexical: length, depth, digit share, entropy, parameters, host labels, hyphens, and
-two statistics of the url's suffix (the host's last label, hashed to SUFFIXES slots, so that their
-table has a fixed size): its share of all pages and the smoothed share of blocks of its labelled ones.
+blocked). Of each of the two labels the train_rows / 2 different URLs least by a hash (ties by the
+url) are fitted, in that order in one small file, weighted back to the labels' shares: which rows
+train, and so every verdict, doesn't depend on how the tables are partitioned. The features are
+lexical: length, depth, digit share, entropy, parameters, host labels, hyphens, and two statistics of
+the url's suffix (the host's last label, hashed to SUFFIXES slots, so that their table has a fixed
+size): its share of all pages and the smoothed share of blocks of its labelled ones. For a row that
+trains, the latter leaves out the rows of its own fold (FOLDS, by a hash of the url), so that no row
+tells its own label.
 
 A null url, or one without ://, has an empty host and path and fits no rule; the trees judge it too.
 Without labelled urls of both kinds, all that no rule fits get the verdict of the one kind there is,
@@ -20,9 +24,13 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import drop_written, written
+
 #: Action, and host with the start of the path.
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
-TRAIN_ROWS, TREES, DEPTH, SUFFIXES, SEED = 20_000, 12, 4, 4096, 7
+TRAIN_ROWS, TREES, DEPTH, SUFFIXES, FOLDS, SEED = 10_000, 12, 4, 4096, 5, 7
+#: Labelled rows that the prior counts as in a suffix's share of blocks.
+PRIOR = 10
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 FEATURES = ["f_length", "f_host", "f_path", "f_depth", "f_digits", "f_entropy", "f_params", "f_labels", "f_hyphens", "f_fragment", "f_suffix", "f_blocked"]
 
@@ -72,6 +80,38 @@ def lexical(df: DataFrame) -> DataFrame:
     })
 
 
+def suffix_shares(seen: dict[int, int], marked: list[tuple[int, int, int, float]]) -> list[tuple[int, int, float, float]]:
+    """(slot, fold, share of pages, smoothed share of blocks among the labelled rows outside the fold; fold -1: among all), from (slot, fold, labels, blocks)."""
+    pages = max(sum(seen.values()), 1)
+    slots, folds = {}, {f: [0, 0.0] for f in range(FOLDS)}
+    for slot, fold, labels, blocks in marked:
+        slots.setdefault(slot, {})[fold] = (labels, blocks)
+        folds[fold] = [folds[fold][0] + labels, folds[fold][1] + blocks]
+    all_labels, all_blocks = (sum(f[i] for f in folds.values()) for i in (0, 1))
+    out = []
+    for fold in (-1, *range(FOLDS)):
+        own = folds.get(fold, (0, 0.0))
+        prior = (all_blocks - own[1] + 1) / (all_labels - own[0] + 2)
+        for slot in sorted(seen.keys() | slots.keys()):
+            rest = [x for f, x in slots.get(slot, {}).items() if f != fold]
+            out.append((slot, fold, seen.get(slot, 0) / pages, (sum(x[1] for x in rest) + PRIOR * prior) / (sum(x[0] for x in rest) + PRIOR)))
+    return out
+
+
+def training(known: DataFrame, train_rows: int) -> DataFrame:
+    """label and the features of at most train_rows different urls, half of each label, in one order: least by a hash, ties by url."""
+    slice_ = F.pmod(F.xxhash64(F.lit("train"), "url"), F.lit(1 << 30))
+    picked = None
+    for label in (0.0, 1.0):
+        mine = known.filter(F.col("label") == label).withColumn("mark", slice_)
+        # twice the wanted share of the different urls comes to the sort (all, where they are few)
+        different = mine.agg(F.approx_count_distinct("url", 0.02).alias("n")).first()["n"]
+        near = mine.filter(F.col("mark") < F.lit(min(1.0, train_rows / max(different, 1)) * (1 << 30)))
+        least = near.select("mark", "url", "label", *FEATURES).distinct().orderBy("mark", "url").limit(train_rows // 2)
+        picked = least if picked is None else picked.union(least)
+    return picked.orderBy("mark", "url", "label").limit(train_rows).select("label", *FEATURES)
+
+
 def judge(pages: DataFrame, rules=RULES, labelled: DataFrame | None = None, train_rows: int = TRAIN_ROWS) -> DataFrame:
     """page_id, host, path, rule, verdict, score (the trees' probability of block; null where a rule decides)."""
     spark = pages.sparkSession
@@ -84,24 +124,24 @@ def judge(pages: DataFrame, rules=RULES, labelled: DataFrame | None = None, trai
 
     urls = split(pages, "page_id")
     known = urls.withColumn("label", (F.col("found.verdict") == "block").cast("double")).filter("found IS NOT NULL") if labelled is None else split(labelled, F.col("blocked").cast("double").alias("label")).filter("label IS NOT NULL")
-    # one pass: counts by slot, at most SUFFIXES rows
-    seen = urls.groupBy("slot").agg(F.count("*").alias("pages"))
-    marked = known.groupBy("slot").agg(F.count("*").alias("labels"), F.sum("label").alias("blocks"))
-    slots = {r["slot"]: r for r in seen.join(marked, "slot", "full").na.fill(0).collect()}
-    pages_all, labels_all, blocks_all = (sum(r[k] for r in slots.values()) for k in ("pages", "labels", "blocks"))
-    prior = blocks_all / labels_all if labels_all else 0.0
-    table = spark.createDataFrame([(s, r["pages"] / max(pages_all, 1), (r["blocks"] + 10 * prior) / (r["labels"] + 10)) for s, r in slots.items()], "slot long, f_suffix double, f_blocked double")
-    whole = lambda df: df.join(F.broadcast(table), "slot", "left").na.fill(0.0, ["f_suffix"]).na.fill(prior, ["f_blocked"])
-
-    if not 0 < blocks_all < labels_all:
-        rest = whole(urls).withColumn("score", F.lit(float(blocks_all > 0)))
+    fold = F.pmod(F.xxhash64(F.lit("fold"), "url"), F.lit(FOLDS))
+    # one pass each: counts by slot and fold, at most SUFFIXES * FOLDS rows
+    seen = {r["slot"]: r["n"] for r in urls.groupBy("slot").agg(F.count("*").alias("n")).collect()}
+    marked = known.groupBy("slot", fold.alias("fold")).agg(F.count("*").alias("labels"), F.sum("label").alias("blocks")).collect()
+    shares = suffix_shares(seen, [(r["slot"], r["fold"], r["labels"], r["blocks"]) for r in marked])
+    table = spark.createDataFrame(shares, "slot long, fold long, f_suffix double, f_blocked double")
+    labels, blocks = sum(r["labels"] for r in marked), sum(r["blocks"] for r in marked)
+    # fold -1 leaves nothing out
+    whole = lambda df, fold: df.withColumn("fold", fold).join(F.broadcast(table), ["slot", "fold"], "left").na.fill(0.0, ["f_suffix", "f_blocked"])
+
+    if not 0 < blocks < labels:
+        rest = urls.withColumn("score", F.lit(float(blocks > 0)))
     else:
-        share = min(1.0, 1.5 * train_rows / labels_all)
-        sample = whole(known.filter(F.pmod(F.xxhash64(F.lit("train"), "url"), F.lit(1 << 30)) < F.lit(share * (1 << 30)))).limit(train_rows)
+        train = written(training(whole(known, fold), train_rows), "training")
+        taken = {r["label"]: r["n"] for r in train.groupBy("label").agg(F.count("*").alias("n")).collect()}
+        weight = F.when(F.col("label") == 1, F.lit(blocks / taken[1.0])).otherwise(F.lit((labels - blocks) / taken[0.0]))
         assemble = VectorAssembler(inputCols=FEATURES, outputCol="features")
-        train = assemble.transform(sample).select("features", "label")
-        if train.agg(F.countDistinct("label").alias("n")).first()["n"] < 2:
-            train = assemble.transform(whole(known)).select("features", "label")
-        model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=SEED, cacheNodeIds=False).fit(train)
-        rest = model.transform(assemble.transform(whole(urls))).withColumn("score", vector_to_array("probability")[1])
+        model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=SEED, cacheNodeIds=False, weightCol="weight").fit(assemble.transform(train.withColumn("weight", weight)))
+        drop_written(spark, train)
+        rest = model.transform(assemble.transform(whole(urls, F.lit(-1)))).withColumn("score", vector_to_array("probability")[1])
     return rest.select("page_id", "host", "path", F.col("found.rule").alias("rule"), F.coalesce("found.verdict", F.when(F.col("score") >= 0.5, "block").otherwise("allow")).alias("verdict"), F.when(F.col("found").isNull(), F.col("score")).alias("score"))

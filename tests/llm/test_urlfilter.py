@@ -1,4 +1,5 @@
 import math
+import random
 import re
 from collections import Counter
 
@@ -46,6 +47,50 @@ def test_trees_learn_from_labels(spark):
     assert sum((r.verdict == "block") == bool(label(dict(rows)[r.page_id])) for r in got) / len(got) > 0.95
 
 
+def test_verdicts_do_not_depend_on_partitions(spark, sf):
+    """Far more labelled rows than train_rows: any cut of the table gives the same verdicts and scores."""
+    pages = spark.read.parquet(sf.replace("sf0.001", "sf0.1") + "/pages.parquet").select("page_id", "url")
+    cuts = (pages, pages.repartition(7), pages.repartition(3, "url").sortWithinPartitions(F.desc("page_id")))
+    first, *rest = ([tuple(r) for r in urlfilter.judge(x, train_rows=300).orderBy("page_id").collect()] for x in cuts)
+    assert len(first) == 2500 and all(x == first for x in rest)
+
+
+def test_training_rows(spark):
+    """Half of each label, different urls, least by the hash; repeated rows of one url count once."""
+    rows = [(f"http://h/{i % 50}", float(i % 50 < 10), *([0.5] * len(urlfilter.FEATURES))) for i in range(500)]
+    known = spark.createDataFrame(rows, "url string, label double, " + ", ".join(f"{f} double" for f in urlfilter.FEATURES))
+    for bound, want in ((20, (10, 10)), (40, (20, 10)), (400, (40, 10))):
+        got = Counter(r.label for r in urlfilter.training(known, bound).collect())
+        assert (got[0.0], got[1.0]) == want
+
+
+def test_suffix_shares():
+    """By brute force over rows: what a fold sees of a suffix holds no row of the fold."""
+    r = random.Random(3)
+    rows = [(r.randrange(4), r.randrange(urlfilter.FOLDS), float(r.random() < 0.3)) for _ in range(300)]
+    cells = Counter((s, f) for s, f, _ in rows)
+    marked = [(s, f, n, sum(y for a, b, y in rows if (a, b) == (s, f))) for (s, f), n in cells.items()]
+    seen = {s: 10 * (s + 1) for s in range(5)}
+    got = urlfilter.suffix_shares(seen, marked)
+    assert len(got) == 5 * (urlfilter.FOLDS + 1)
+    for slot, fold, pages, blocked in got:
+        others = [y for _, f, y in rows if f != fold]
+        mine = [y for s, f, y in rows if f != fold and s == slot]
+        prior = (sum(others) + 1) / (len(others) + 2)
+        assert math.isclose(pages, seen[slot] / 150) and math.isclose(blocked, (sum(mine) + 10 * prior) / (len(mine) + 10))
+
+
+def test_one_label_null_ids_and_long_urls(spark):
+    pages = spark.createDataFrame([(None, "http://a.com/x"), (None, None), (1, "http://" + "a" * 70000 + ".com/" + "b/" * 40000), (1, "http://q.net/" + "9" * 100)], "page_id long, url string")
+    for blocked, verdict in ((1, "block"), (0, "allow")):
+        labelled = spark.createDataFrame([("http://z.com/1", blocked), ("http://z.com/2", None)], "url string, blocked int")
+        got = urlfilter.judge(pages, rules=[], labelled=labelled).collect()
+        assert len(got) == 4 and {r.verdict for r in got} == {verdict}
+    labelled = spark.createDataFrame([("http://z.com/1", 1), ("http://z.com/2", 0), ("http://" + "z" * 70000, 0)], "url string, blocked int")
+    got = urlfilter.judge(pages, labelled=labelled).collect()
+    assert len(got) == 4 and all(r.verdict in ("allow", "block") for r in got) and max(len(r.path) for r in got) == 80001
+
+
 def test_entropy(spark):
     words = ["a", "ab", "aab", "https://x.y/zz", "", "éé中"]
     got = {r.w: r.e for r in spark.createDataFrame([(w,) for w in words], "w string").select("w", urlfilter.entropy(F.col("w")).alias("e")).collect()}
