@@ -1,6 +1,9 @@
+import math
 import random
+import re
 import zlib
 
+import zstandard
 from pyspark.sql import functions as F
 
 from keyloom.llm import langid
@@ -15,6 +18,33 @@ def test_held_out_accuracy(spark):
     assert sum(r.rejected for r in got) / len(got) < 0.01
 
 
+def test_the_answer_is_the_smallest_encoding(spark, documents):
+    """By brute force: each piece compressed anew with each dictionary; ties go to the first name."""
+    model = langid.fit(documents) | {"zz": langid.fit(documents)["en"]}  # en and zz tie
+    params = zstandard.ZstdCompressionParameters(write_content_size=False, write_checksum=False, write_dict_id=False, **langid.ZSTD)
+
+    def size(text, lang):
+        content, share = model[lang]
+        data = re.sub(r"[\W\d_]+", " ", text.lower()).encode()
+        total = -math.log2(share) / 8
+        for i in range(0, len(data), langid.PIECE_BYTES):
+            dictionary = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            dictionary.precompute_compress(compression_params=params)
+            total += len(zstandard.ZstdCompressor(dict_data=dictionary, compression_params=params).compress(data[i : i + langid.PIECE_BYTES]))
+        return total
+
+    got = {r.doc_id: r for r in langid.predict(documents, model).collect()}
+    for r in documents.collect():
+        text = r.text or ""
+        if not any(map(str.isalpha, text)):
+            assert got[r.doc_id].lang_pred == "und"
+            continue
+        sizes = {lang: size(text, lang) for lang in model}
+        assert got[r.doc_id].lang_pred == min(sorted(sizes), key=sizes.get)
+        if got[r.doc_id].lang_pred == "en":
+            assert got[r.doc_id].margin == 0 and got[r.doc_id].rejected
+
+
 def test_held_out_rows_teach_nothing(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").limit(200)
     other = docs.withColumn("lang", F.when(langid.held_out(F.col("doc_id")), F.lit("xx")).otherwise(F.col("lang"))).withColumn("text", F.when(langid.held_out(F.col("doc_id")), F.lit("zz zz")).otherwise(F.col("text")))
