@@ -1,14 +1,24 @@
 """Format-preserving pseudonyms of personal numbers and dates. Column expressions only.
 
-Found and validated: payment cards (13 to 19 digits, plain or in fours, Luhn), phone numbers
-(with a country code, or three, three and four digits), IPv4 addresses (octets to 255), social security numbers (area, group and serial in use), dates
-(year first, or day or month first, from 1800 to 2199) and e-mail addresses. Each kind's values
+Found and validated: payment cards (13 to 19 digits, plain, in fours or as 4-6-4 and 4-6-5, Luhn), phone
+numbers (a country code that doesn't start with 0, or three, three and four digits), IPv4 addresses (octets
+to 255, without leading zeros or all of three digits), social security numbers (area, group and serial in
+use), dates (year first, or day or month first, from 1800 to 2199) and e-mail addresses. Each kind's values
 are numbered, and the number goes through a keyed Feistel network over two mixed-radix halves of
 exactly that many values: a permutation of the kind, so equal values stay equal across documents,
 different ones stay different, and the result is again valid and in the format it was found in.
 The round function is SHA-256 of key, kind, round and half. An e-mail address is no number: it
 becomes a keyed digest at an unroutable domain.
 
+A date whose day is at most 12 becomes another such, any other date one with a later day: the network is
+applied again until that holds (a walk along its cycle, again a permutation of each class; STEPS at most,
+which a walk outlasts with a probability below 1e-25). So a date that can be read day or month first
+stays so and is valid either way, one that can be read in only one order keeps it, and no two strings of
+one format become the same. Strings that can be read either way are read day first, which
+decides only to which year-first date they are linked.
+
+The key has no default: who has it can undo the networks.
+
 Strings that look alike but are not valid stay as they are, and so do null texts (which count no
 findings). Repeated rows stay; extra columns are ignored by mask() and kept by masked().
 """
@@ -18,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-KEY, ROUNDS = "keyloom", 8
+ROUNDS, STEPS = 8, 128
 #: Days of 400 Gregorian years, 146097 = 189 * 773, from 1800-01-01; octet pairs; areas (898) by groups (99), and serials.
 DAYS, FIRST_DAY = (189, 773), "1800-01-01"
 OCTETS, NUMBERS = (65536, 65536), (898 * 99, 9999)
@@ -26,14 +36,16 @@ _OUT = r"(?<![0-9A-Za-z.+-])"
 #: One pattern a kind, tried in this order at each place.
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}",
-    "phone": r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?|\([0-9]{3}\) ?[0-9]{3}[ .-]|[0-9]{3}[ .-][0-9]{3}[ .-])[0-9]{4}(?![0-9A-Za-z])",
+    "phone": r"(?<![0-9A-Za-z])(?:\+[1-9][0-9]{0,2}[ .-]?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?|\([0-9]{3}\) ?[0-9]{3}[ .-]|[0-9]{3}[ .-][0-9]{3}[ .-])[0-9]{4}(?![0-9A-Za-z])",
     "ip": _OUT + r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}(?![0-9A-Za-z]|\.[0-9])",
     "ymd": r"(?<![0-9A-Za-z])[0-9]{4}([-/.])[0-9]{2}\1[0-9]{2}(?![0-9A-Za-z])",
     "ssn": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
     "dmy": r"(?<![0-9A-Za-z])[0-9]{2}([-/.])[0-9]{2}\2[0-9]{4}(?![0-9A-Za-z])",
-    "card": r"(?<![0-9A-Za-z])(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\3[0-9]{4}\3[0-9]{1,7})(?![0-9A-Za-z])",
+    "card": r"(?<![0-9A-Za-z])(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\3[0-9]{4}\3[0-9]{1,7}|[0-9]{4}([ -])[0-9]{6}\4[0-9]{4,5})(?![0-9A-Za-z])",
 }
-ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: All but addresses start with one of these: other places are passed over at once.
+NUMERIC = "(?=[0-9+(])(?:" + "|".join(f"(?:{p})" for kind, p in PATTERNS.items() if kind != "email") + ")"
+ANY = f"(?:{PATTERNS['email']})|{NUMERIC}"
 
 
 def feistel(kind: str, key: Column, a: Column, b: Column, size_a: Column, size_b: Column) -> Column:
@@ -120,8 +132,10 @@ def _phone(x: Column, key: Column) -> Column:
 def _ip(x: Column, key: Column) -> Column:
     part = lambda i: F.split(x, r"\.")[i].cast("long")
     done = feistel("ip", key, part(0) * 256 + part(1), part(2) * 256 + part(3), *map(F.lit, OCTETS))
-    new = _with(done, lambda s: F.concat_ws(".", *((v).cast("string") for h in ("a", "b") for v in (F.floor(s[h] / 256), s[h] % 256))))
-    return F.when(F.greatest(*map(part, range(4))) <= 255, new)
+    bare = x.rlike(r"^(?:(?:0|[1-9][0-9]{0,2})(?:\.|$)){4}$")
+    octet = lambda v: F.when(bare, v.cast("string")).otherwise(F.lpad(v.cast("string"), 3, "0"))
+    new = _with(done, lambda s: F.concat_ws(".", *(octet(v) for h in ("a", "b") for v in (F.floor(s[h] / 256), s[h] % 256))))
+    return F.when((F.greatest(*map(part, range(4))) <= 255) & (bare | x.rlike(r"^[0-9]{3}(?:\.[0-9]{3}){3}$")), new)
 
 
 def _ssn(x: Column, key: Column) -> Column:
@@ -136,13 +150,25 @@ def _ssn(x: Column, key: Column) -> Column:
     return F.when((area > 0) & (area < 900) & (area != 666) & (group > 0) & (serial > 0), _with(done, new))
 
 
+def _other_day(index: Column, early: Column, key: Column) -> Column:
+    """The number of the day that day `index` becomes: both or neither have a day of the month of 12 at most."""
+
+    def step(s, i):
+        def moved(t):
+            now = t["a"] * DAYS[1] + t["b"]
+            return F.struct(now.alias("at"), ((F.dayofmonth(F.date_add(F.lit(FIRST_DAY).cast("date"), now.cast("int"))) <= 12) == early).alias("done"))
+
+        return F.when(s["done"], s).otherwise(_with(feistel("date", key, F.floor(s["at"] / DAYS[1]), s["at"] % DAYS[1], *map(F.lit, DAYS)), moved))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), F.struct(index.cast("long").alias("at"), F.lit(False).alias("done")), step, lambda s: s["at"])
+
+
 def _date(x: Column, key: Column, form: str, year: int, month: int, day: int) -> Column:
     """x, if it is a date with its parts at these places; `form` writes it again."""
     iso = F.concat_ws("-", x.substr(year, 4), x.substr(month, 2), x.substr(day, 2))
     index = F.datediff(F.try_to_date(iso, "yyyy-MM-dd"), F.lit(FIRST_DAY).cast("date"))
-    done = feistel("date", key, F.floor(index / DAYS[1]), index % DAYS[1], *map(F.lit, DAYS))
     mark = x.substr(5 if year == 1 else 3, 1)
-    text = _with(done, lambda s: F.date_format(F.date_add(F.lit(FIRST_DAY).cast("date"), (s["a"] * DAYS[1] + s["b"]).cast("int")), form))
+    text = F.date_format(F.date_add(F.lit(FIRST_DAY).cast("date"), _other_day(index, x.substr(day, 2).cast("int") <= 12, key).cast("int")), form)
     return F.when(index.between(0, DAYS[0] * DAYS[1] - 1), F.replace(text, F.lit("|"), mark))
 
 
@@ -152,7 +178,7 @@ def _email(x: Column, key: Column) -> Column:
 
 def pseudonym(x: Column, key: Column) -> Column:
     """struct<kind, text>: of a match of ANY; null kind and the match itself where it isn't valid."""
-    whole = lambda kind: x.rlike("^(?:" + PATTERNS[kind].replace(r"\2", r"\1").replace(r"\3", r"\1") + ")$")
+    whole = lambda kind: x.rlike("^(?:" + PATTERNS[kind].replace(r"\2", r"\1").replace(r"\3", r"\1").replace(r"\4", r"\2") + ")$")
     made = {
         "email": _email(x, key), "phone": _phone(x, key), "ip": _ip(x, key), "ymd": _date(x, key, "yyyy|MM|dd", 1, 6, 9), "ssn": _ssn(x, key),
         "dmy": F.coalesce(_date(x, key, "dd|MM|yyyy", 7, 4, 1), _date(x, key, "MM|dd|yyyy", 7, 1, 4)), "card": _card(x, key),
@@ -166,22 +192,25 @@ def pseudonym(x: Column, key: Column) -> Column:
 
 def _made(docs: DataFrame, key: str) -> DataFrame:
     """docs (with a column text) and `changes` (array of struct<kind, text>) and `masked`."""
-    hits = docs.withColumn("hits", F.regexp_extract_all("text", F.lit(ANY), F.lit(0)))
-    some = F.coalesce(F.size("hits"), F.lit(0)) > 0
-    gaps = hits.withColumn("gaps", F.when(some, F.split("text", ANY, -1)))
+    # most texts lack what an address needs, and many what a number needs
+    address, none = F.contains("text", F.lit("@")), F.array().cast("array<string>")
+    found = F.when(address, F.regexp_extract_all("text", F.lit(ANY), F.lit(0))).when(F.col("text").rlike("[0-9]"), F.regexp_extract_all("text", F.lit(NUMERIC), F.lit(0))).otherwise(none)
+    hits = docs.withColumn("hits", found)
+    some = F.size("hits") > 0
+    gaps = hits.withColumn("gaps", F.when(some & address, F.split("text", ANY, -1)).when(some, F.split("text", NUMERIC, -1)))
     changed = gaps.withColumn("changes", F.when(some, F.transform("hits", lambda x: pseudonym(x, F.lit(key)))).otherwise(F.array().cast("array<struct<kind:string,text:string>>")))
     joined = F.array_join(F.transform(F.arrays_zip(F.col("gaps").alias("gap"), F.col("changes").alias("new")), lambda x: F.concat(x["gap"], F.coalesce(x["new"]["text"], F.lit("")))), "")
     return changed.withColumn("masked", F.when(some, joined).otherwise(F.col("text")))
 
 
-def mask(docs: DataFrame, key: str = KEY) -> DataFrame:
+def mask(docs: DataFrame, key: str) -> DataFrame:
     """doc_id, text with pseudonyms, and how many of each kind: n_email, n_phone, n_ip, n_date, n_ssn, n_card."""
     made = _made(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), key)
     count = lambda kind: F.size(F.filter("changes", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return made.select("doc_id", F.col("masked").alias("text"), *map(count, ("email", "phone", "ip", "date", "ssn", "card")))
 
 
-def masked(docs: DataFrame, key: str = KEY) -> DataFrame:
+def masked(docs: DataFrame, key: str) -> DataFrame:
     """docs with pseudonyms in text; all columns stay."""
     row = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("text").cast("string").alias("text"))
     return _made(row, key).select(*(F.col("masked").alias("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns))
