@@ -3,12 +3,13 @@
 An item of m characters (after normalise()) occurs in a text if some substring of the text is
 within k = floor(rate * m) edits of it. Cut into k + 1 pieces, one piece must then occur exactly:
 an Aho-Corasick automaton over all pieces finds these hits in one pass over the text, and Myers'
-bit-parallel distance verifies the stretch around each. Items below min_chars bytes of UTF-8 would
-occur by chance: they match only texts that equal them. Bytes stand for information: eight Chinese
-or Japanese characters are no less than 24 letters.
+bit-parallel distance verifies the stretch around each. The same holds for items of any length: short
+ones have a budget of 0, so they must occur as they are, and then at word edges ("cat" isn't in
+"category"; between characters of scripts without blanks every place is an edge). An item of a word
+or two occurs in many clean texts: min_chars (0) leaves out items with fewer characters altogether.
 
-The benchmark is taken in blocks of at most about block_bytes, each broadcast on its own, so what
-a worker holds doesn't grow with the benchmark; each block is one pass over the documents.
+The benchmark is taken in blocks of at most about block_bytes, each collected and broadcast on its own,
+so what the driver and a worker hold doesn't grow with the benchmark; each block is one pass over the documents.
 
 Null and empty texts and items match nothing. Repeated documents give repeated rows, repeated item
 ids one row each (with equal texts equal rows); extra columns are ignored by matches() and kept by
@@ -18,8 +19,10 @@ clean(). An empty table on either side gives no matches.
 from __future__ import annotations
 
 import functools
+import re
 import string
 from collections import defaultdict
+from collections.abc import Iterator
 
 import ahocorasick
 from pyspark.sql import DataFrame
@@ -27,7 +30,9 @@ from pyspark.sql import functions as F
 
 from .common import ddl, map_rows, texts
 
-RATE, MIN_CHARS, BLOCK_BYTES = 0.07, 24, 4 << 20
+RATE, MIN_CHARS, BLOCK_BYTES = 0.07, 0, 4 << 20
+#: Letters of scripts that put no blanks between words (Thai to Burmese, kana, Han and Hangul, whose words take endings).
+_JOINED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\u9fff\uac00-\ud7af\uf900-\ufaff\U00020000-\U0003ffff]")
 _BLANK = bytes(32 if chr(i) in string.punctuation or i < 33 or i == 127 else i for i in range(256))
 
 
@@ -71,14 +76,21 @@ def masks(pattern: str) -> dict[str, int]:
     return dict(out)
 
 
+def at_edges(text: str, a: int, b: int) -> bool:
+    """Whether text[a:b] neither starts nor ends inside a word."""
+
+    def edge(i: int) -> bool:
+        return not 0 < i < len(text) or not (text[i - 1].isalnum() and text[i].isalnum()) or bool(_JOINED.match(text[i - 1]) or _JOINED.match(text[i]))
+
+    return edge(a) and edge(b)
+
+
 class Matcher:
     def __init__(self, items: list[tuple[int, str]], rate: float, min_chars: int):
-        self.whole, self.items, found = defaultdict(list), [], defaultdict(list)
+        self.items, found = [], defaultdict(list)
         for item_id, text in items:
             text = normalise(text)
-            if 0 < len(text.encode()) < min_chars:
-                self.whole[text].append(item_id)
-            elif text:
+            if len(text) >= max(min_chars, 1):
                 k = int(rate * len(text))
                 for a, b in pieces(len(text), k):
                     found[text[a:b]].append((len(self.items), a))
@@ -93,8 +105,7 @@ class Matcher:
     def __call__(self, text: str | None) -> list[tuple[int, int, int, int]]:
         """(item_id, distance, start, end in the normalised text) of the best match of each item."""
         text = normalise(text)
-        out = [(i, 0, 0, len(text)) for i in self.whole.get(text, ())] if text else []
-        diagonals = defaultdict(set)
+        out, diagonals = [], defaultdict(set)
         if self.any and text:
             for last, (size, where) in self.automaton.iter(text):
                 for item, offset in where:
@@ -102,6 +113,11 @@ class Matcher:
         for item, starts in diagonals.items():
             item_id, pattern, k, forward, backward = self.items[item]
             m, best = len(pattern), None
+            if not k:  # the one piece is the item
+                first = min((s for s in starts if at_edges(text, s, s + m)), default=None)
+                if first is not None:
+                    out.append((item_id, 0, first, first + m))
+                continue
             spans: list[list[int]] = []
             for s in sorted(starts):
                 a, b = max(0, s - k), min(len(text), s + m + k)
@@ -124,13 +140,14 @@ def _matcher(items: tuple, rate: float, min_chars: int) -> Matcher:
     return Matcher(list(items), rate, min_chars)
 
 
-def blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> list[tuple]:
-    """The items, in parts of about block_bytes by a hash of the id; each part is a tuple (item_id, text)."""
+def blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[tuple]:
+    """The items, in parts of about block_bytes by a hash of the id, one at a time; each part is a tuple (item_id, text)."""
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter(F.col("item_id").isNotNull() & (F.length("text") > 0))
     total = rows.agg(F.sum(F.octet_length("text") + 16).alias("n")).first()["n"] or 0
     n = -(-total // block_bytes)
     part = F.pmod(F.xxhash64("item_id"), F.lit(max(n, 1)))
-    return [tuple(sorted((r["item_id"], r["text"]) for r in rows.filter(part == i).collect())) for i in range(n)]
+    for i in range(n):
+        yield tuple(sorted((r["item_id"], r["text"]) for r in rows.filter(part == i).collect()))
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, min_chars: int = MIN_CHARS, block_bytes: int = BLOCK_BYTES) -> DataFrame:

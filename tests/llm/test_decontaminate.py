@@ -42,9 +42,10 @@ def test_matches_equal_brute_force(spark):
         t = decontaminate.normalise(t)
         for j, p in items:
             p = decontaminate.normalise(p)
-            if len(p) >= 24 and t and (k := distance(p, t)) <= int(0.07 * len(p)):
+            budget = int(0.07 * len(p))
+            if budget and t and (k := distance(p, t)) <= budget:
                 want.append((i, j, k))
-            elif 0 < len(p) < 24 and p == t:
+            elif p and not budget and f" {p} " in f" {t} ":
                 want.append((i, j, 0))
     for block in (1 << 20, 100):
         got = decontaminate.matches(d, b, block_bytes=block).collect()
@@ -64,10 +65,27 @@ def test_odd_tables(request, spark, name):
     assert got == ({(7, 1), (8, 2)} if name == "odd" else set())
 
 
+def test_short_items_are_found_inside_texts_at_word_edges(spark):
+    items = [(1, "Cat"), (2, "the cat sat"), (3, "12"), (4, "É?"), (5, "..."), (6, "o")]
+    docs = [(1, "My category: cats, concat"), (2, "(Cat)"), (3, "Is the  cat, sat?"), (4, "x12 123 12"), (5, "é"), (6, "née"), (7, "category cat"), (8, "o" * 50000 + " O")]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = sorted(tuple(x) for x in decontaminate.matches(d, b).collect())
+    assert got == [(2, 1, 0, 0, 3), (3, 1, 0, 7, 10), (3, 2, 0, 3, 14), (4, 3, 0, 8, 10), (5, 4, 0, 0, 1), (7, 1, 0, 9, 12), (8, 6, 0, 50001, 50002)]
+    assert sorted({x.item_id for x in decontaminate.matches(d, b, min_chars=4).collect()}) == [2]
+
+
+def test_blocks_come_one_at_a_time(spark):
+    items = spark.createDataFrame([(i, f"item {i} " * 9) for i in range(40)], "item_id long, text string")
+    parts = decontaminate.blocks(items, 500)
+    assert iter(parts) is parts
+    whole = list(parts)
+    assert len(whole) > 2 and sorted(i for part in whole for i, _ in part) == list(range(40))
+
+
 def test_items_of_few_wide_characters(spark):
-    """A sentence of fewer than 24 characters but as many bytes is searched for inside texts."""
+    """A sentence of few characters is searched for inside texts; scripts without blanks have an edge everywhere."""
     items = [(1, "今天早上城里很冷但是孩子们去公园散步"), (2, "我的名字是花子です"), (3, "公园")]
     docs = [(1, "他说：今天早上城里很冷但是孩子们去公园散步。然后走了"), (2, "今天早上城里很冷但是孩于们去公园散步"), (3, "x 我的名字是花子です y"), (4, "我的名字是太郎です"), (5, "公园"), (6, "去公园散步")]
     d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
-    assert sorted(tuple(x)[:3] for x in decontaminate.matches(d, b).collect()) == [(1, 1, 0), (2, 1, 1), (3, 2, 0), (5, 3, 0)]
-    assert sorted(x.doc_id for x in decontaminate.clean(d, b).collect()) == [4, 6]
+    assert sorted(tuple(x)[:3] for x in decontaminate.matches(d, b).collect()) == [(1, 1, 0), (1, 3, 0), (2, 1, 1), (2, 3, 0), (3, 2, 0), (5, 3, 0), (6, 3, 0)]
+    assert sorted(x.doc_id for x in decontaminate.clean(d, b).collect()) == [4]
