@@ -19,9 +19,16 @@ when percent of their union or more is shared; result rows carry the component o
     than in shingles; then both whole sets are compared. They come from one more pass over the texts,
     which drops those outside a bitmap (of fixed size) of the candidates before anything is shuffled.
  5. Components by alternating large and small stars.
- 6. Members of long lists that are not yet in their pivot's component are paired with the list's
-    members in others (by size and position of the shingle) and verified likewise: a pair inside
-    one component can't add to it, so no link between components is missed.
+ 6. Pairs that share shingles of long lists only, and that step 3 didn't give: at least one of the two is
+    outside its list's pivot's component, as a pair inside one component can't add to it. Of a pair's shared
+    shingles the first lies early in both prefixes (the rest of either set must hold the overlap), and the
+    document of the lesser l (ties: the lesser id) shares l of its p long lists, so it is looked for in the
+    first p - l + 1 of them only: the commonest lists are never read by those that want many matches. The
+    list's members are dealt over cells of CHUNK by CHUNK, so no task holds a list. These pairs are
+    verified likewise, so no link between components is missed.
+
+Joins on a shingle or on a set's digest, where one key may hold a third of all rows, deal the rows of the
+keys above a share of 1 / HEAVY over SALTS tasks.
 
 Null texts and texts without words have an empty set and link with nothing. Repeated rows and
 equal texts are in one component; every input row gives a row. A row without an id is in the
@@ -38,7 +45,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import drop_written, ship, written
@@ -48,6 +55,8 @@ WIDTH, PERCENT = 3, 90
 CELLS, BLOCKS = 1 << 20, 64
 #: Greatest l; postings of a short list; what one more posting of one's own costs, in postings read.
 MOST, SHORT, OWN = 64, 64, 8
+#: Members of a long list in a task, from each side; keys above 1 / HEAVY of the rows are dealt over SALTS tasks.
+CHUNK, HEAVY, SALTS = 2048, 1024, 32
 BITMAP = 1 << 23
 _WORDS = 1 << 17  # of a worker's cache
 
@@ -297,51 +306,90 @@ def _sizes_fit(x: str, y: str, percent: int):
     return (F.col(x) * 100 >= F.col(y) * percent) & (F.col(y) * 100 >= F.col(x) * percent)
 
 
+def dealt(rows: DataFrame, keyed: DataFrame, key: str, by: str) -> DataFrame:
+    """rows joined on key with keyed, which has one row a key and in `many` how many rows hold it; the rows of heavy keys are dealt by a hash of `by`."""
+    spark = rows.sparkSession
+    total = keyed.agg(F.sum("many").alias("n")).first()["n"] or 0
+    heavy = keyed.filter(F.col("many") > F.lit(total / HEAVY)).select(key)
+    hot = F.broadcast(spark.createDataFrame(heavy.collect(), heavy.schema).withColumn("hot", F.lit(True)))  # HEAVY keys at most
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64(F.lit("salt"), by), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))
+    salts = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    left = rows.join(hot, key, "left").withColumn("salt", salt).drop("hot")
+    right = keyed.join(hot, key, "left").withColumn("salt", F.explode(salts)).drop("hot")
+    return left.join(right, [key, "salt"]).drop("salt")
+
+
+def late_pairs(long: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b, l) of step 6, from the members of long lists (token, id, n, l, at, many, pivot) and the components so far."""
+    row = Window.partitionBy("id")
+    ranked = long.withColumn("rank", F.row_number().over(row.orderBy("at"))).withColumn("lists", F.count("*").over(row))
+    # the first shared shingle leaves enough of either set
+    near = ranked.filter(F.col("at") <= F.col("n") - F.expr(f"(cast(n AS bigint) * {percent} + 99) div 100"))
+    placed = near.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    core = long.filter(F.col("id") == F.col("pivot.id")).select("token", "id", "many").join(found, "id", "left").select("token", "many", F.coalesce("component", "id").alias("core"))
+    own = placed.filter("id != pivot.id").withColumn("early", F.col("rank") <= F.col("lists") - F.col("l") + 1).select("token", "id", "n", "l", "at", "early", "component")
+    own = written(dealt(own, core, "token", "id").withColumn("outside", F.col("component") != F.col("core")).drop("many", "core"), "placed")
+    # early ones outside the core meet all, early ones in it those outside; most lists, all core, have neither
+    tally = own.groupBy("token").agg(F.count("*").alias("many"), F.count_if(F.expr("early AND outside")).alias("early_out"), F.count_if(F.expr("early AND NOT outside")).alias("early_in"), F.count_if("outside").alias("out"))
+    tally = written(tally.filter("early_out > 0 AND many > 1 OR early_in > 0 AND out > 0"), "tally")
+    own = dealt(own, tally, "token", "id")
+    columns = ["id", "n", "l", "at", "component"]
+
+    def side(df, s, i, j, mine, others):
+        """Dealt over the chunks of its side, and copied to each chunk of the other: a cell has at most about CHUNK of both."""
+        chunks = lambda c: F.ceil(F.col(c) / F.lit(CHUNK)).cast("int")
+        at = F.pmod(F.xxhash64(F.lit("chunk"), "id"), chunks(mine).cast("long")).cast("int")
+        return df.withColumn(i, at).withColumn(j, F.explode(F.sequence(F.lit(0), chunks(others) - 1))).select("token", "i", "j", *(F.col(c).alias(f"{c}_{s}") for c in columns))
+
+    need = F.ceil((F.col("n_x") + F.col("n_y")) * percent / F.lit(100 + percent))
+    pairs = None
+    for first, mine, then, others in (("early AND outside", "early_out", "true", "many"), ("early AND NOT outside", "early_in", "outside", "out")):
+        some = own.filter(F.col(mine) > 0).filter(F.col(others) > 0)
+        x, y = side(some.filter(first), "x", "i", "j", mine, others), side(some.filter(then), "y", "j", "i", others, mine)
+        met = x.join(y, ["token", "i", "j"]).filter(
+            ((F.col("l_x") < F.col("l_y")) | ((F.col("l_x") == F.col("l_y")) & (F.col("id_x") < F.col("id_y"))))
+            & (F.col("component_x") != F.col("component_y")) & _sizes_fit("n_x", "n_y", percent) & (F.least(F.col("n_x") - F.col("at_x"), F.col("n_y") - F.col("at_y")) >= need)
+        )
+        met = met.select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b"), F.col("l_x").alias("l"))
+        pairs = met if pairs is None else pairs.union(met)
+    return pairs.distinct()
+
+
 def link(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs. Writes to the shared folder and runs several jobs."""
     spark: SparkSession = docs.sparkSession
     docs = texts(docs)
     levels, total = sketch(docs, width)
     rows = written(prefixes(docs, levels, total, width, percent), "prefixes")
-    class_of = rows.filter("n > 0").groupBy("digest").agg(F.min("doc_id").alias("id"))
-    each = rows.filter("n > 0").join(class_of.withColumnRenamed("digest", "d"), (F.col("digest") == F.col("d")) & (F.col("doc_id") == F.col("id"))).dropDuplicates(["id", "digest"])
+    classes = written(rows.filter("n > 0").groupBy("digest").agg(F.min("doc_id").alias("id"), F.count("*").alias("many")), "classes")
+    first = classes.select(F.col("digest").alias("d"), "id")
+    each = rows.filter("n > 0").join(first, (F.col("digest") == F.col("d")) & (F.col("doc_id") == F.col("id"))).dropDuplicates(["id", "digest"])
     postings = each.select("id", "n", "l", F.posexplode("prefix").alias("at", "token"))
-    near = F.struct("at", "n", "id")
-    lists = postings.groupBy("token").agg(F.count("*").alias("many"), F.min(near).alias("pivot")).filter("many > 1")
-    shared = written(postings.join(lists, "token").select("token", "id", "n", "l", "at", "many", "pivot"), "postings")
+    lists = written(postings.groupBy("token").agg(F.count("*").alias("many"), F.min(F.struct("at", "n", "id", "l")).alias("pivot")).filter("many > 1"), "lists")
+    shared = written(dealt(postings, lists, "token", "id").select("token", "id", "n", "l", "at", "many", "pivot"), "postings")
 
     short, long = shared.filter(F.col("many") <= SHORT), shared.filter(F.col("many") > SHORT)
     stands = long.groupBy("id").agg(F.count("*").alias("longs"))
-    side = lambda df, s: df.select("token", *(F.col(c).alias(f"{c}_{s}") for c in df.columns if c != "token"))
-    met = side(short.select("token", "id", "n", "l"), "x").join(side(short.select("token", "id", "n", "l"), "y"), "token").filter((F.col("id_x") < F.col("id_y")) & _sizes_fit("n_x", "n_y", percent))
+    side = lambda s: short.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "l")))
+    met = side("x").join(side("y"), "token").filter((F.col("id_x") < F.col("id_y")) & _sizes_fit("n_x", "n_y", percent))
     counted = met.groupBy(F.col("id_x").alias("a"), F.col("id_y").alias("b")).agg(F.count("*").alias("met"), F.min(F.least("l_x", "l_y")).alias("l"))
     enough = counted.filter("met >= l")
     # where long lists may hold what is missing, those that both stand in count
     rest = counted.filter("met < l").join(stands.withColumnsRenamed({"id": "a", "longs": "p"}), "a").join(stands.withColumnsRenamed({"id": "b", "longs": "q"}), "b").filter(F.col("met") + F.least("p", "q") >= F.col("l"))
-    pivot_l = long.filter(F.col("id") == F.col("pivot.id")).select("token", F.col("l").alias("k")).dropDuplicates(["token"])
-    star = long.join(pivot_l, "token").filter((F.col("id") != F.col("pivot.id")) & _sizes_fit("n", "pivot.n", percent)).select(F.least("id", "pivot.id").alias("a"), F.greatest("id", "pivot.id").alias("b"), F.least("l", "k").alias("l"))
+    star = long.filter((F.col("id") != F.col("pivot.id")) & _sizes_fit("n", "pivot.n", percent)).select(F.least("id", "pivot.id").alias("a"), F.greatest("id", "pivot.id").alias("b"), F.least("l", "pivot.l").alias("l"))
     pairs = written(enough.select("a", "b", "l").union(rest.select("a", "b", "l")).union(star).groupBy("a", "b").agg(F.min("l").alias("l")), "pairs")
     bits = each.select("id", "n", "bits")
     links = verified(pairs, bits, docs, levels, width, percent)
     found = components(links)
 
-    # long lists: members outside their pivot's component against those of other components
-    placed = long.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    core = placed.filter(F.col("id") == F.col("pivot.id")).select("token", F.col("component").alias("core")).dropDuplicates(["token"])
-    placed = written(placed.filter("id != pivot.id").join(core, "token").select("token", "id", "n", "l", "at", "component", "core"), "placed")
-    x, y = side(placed.filter("component != core"), "x"), side(placed, "y")
-    need = F.ceil((F.col("n_x") + F.col("n_y")) * percent / F.lit(100 + percent))
-    # the first shared shingle: none before it is in the other set
-    reach = F.least(F.col("n_x") - F.col("at_x"), F.col("n_y") - F.col("at_y")) >= need
-    late = x.join(y, "token").filter((F.col("component_x") != F.col("component_y")) & ((F.col("component_y") == F.col("core_y")) | (F.col("id_x") < F.col("id_y"))) & _sizes_fit("n_x", "n_y", percent) & reach)
-    late = written(late.select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b"), F.least("l_x", "l_y").alias("l")).groupBy("a", "b").agg(F.min("l").alias("l")).join(pairs, ["a", "b"], "left_anti"), "late")
+    late = written(late_pairs(long, found, percent).join(pairs, ["a", "b"], "left_anti"), "late")
     if late.take(1):
         more = verified(late, bits, docs, levels, width, percent)
         if more.take(1):
             found = components(links.union(more))
-    drop_written(spark, shared, pairs, placed, late)
+    drop_written(spark, shared, pairs, lists, late)
 
-    named = rows.filter("n > 0").select("doc_id", "n", "digest").join(class_of, "digest").join(found, "id", "left")
+    named = dealt(rows.filter("n > 0").select("doc_id", "n", "digest"), classes, "digest", "doc_id").select("doc_id", "n", "id").join(found, "id", "left")
     whole = named.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
     return whole.union(rows.filter("n = 0").select("doc_id", F.lit(0).cast("long"), F.col("doc_id")))
 

@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from keyloom.llm import jaccard
 
@@ -72,6 +73,52 @@ def test_families(spark, monkeypatch, short):
     check(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").repartition(3))
 
 
+def test_long_lists_near_the_threshold(spark, monkeypatch):
+    """Documents of one template that share its shingles and mostly don't link: lists of hundreds, dealt over small cells and salted."""
+    monkeypatch.setattr(jaccard, "SHORT", 8)
+    monkeypatch.setattr(jaccard, "CHUNK", 16)
+    monkeypatch.setattr(jaccard, "HEAVY", 2)
+    r = random.Random(12)
+    docs = []
+    for family in range(3):
+        template = [f"t{family}w{i}" for i in range(60)]
+        for i in range(120):
+            # 2 to 5 edits of one word spoil 3 shingles each: similarities from 0.6 to 0.95
+            text = list(template)
+            for _ in range(r.randint(1, 4)):
+                text[r.randrange(60)] = f"x{r.randrange(40)}"
+            docs.append(" ".join(text))
+    docs += [docs[5]] * 200
+    check(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").repartition(4))
+
+
+def test_dealt_is_a_join(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "HEAVY", 4)
+    rows = [(i, "hot" if i % 3 else f"k{i % 5}") for i in range(300)] + [(i, "absent") for i in range(3)]
+    left = spark.createDataFrame(rows, "id long, key string")
+    keyed = left.filter("key <> 'absent'").groupBy("key").count().withColumnRenamed("count", "many")
+    many = {r.key: r.many for r in keyed.collect()}
+    got = sorted((r.id, r.key, r.many) for r in jaccard.dealt(left, keyed, "key", "id").collect())
+    assert got == sorted((i, k, many[k]) for i, k in rows if k in many)
+    assert jaccard.dealt(left, keyed.filter("false"), "key", "id").collect() == []
+
+
+def test_late_pairs_grow_with_what_can_link(spark):
+    """20,000 documents of one template, no two of which link, and each with words of its own: no pair is made."""
+    levels = np.zeros(jaccard.CELLS, np.uint8)
+    base = " ".join(f"w{i}" for i in range(80))
+    docs = spark.range(20000).selectExpr("id AS doc_id", f"concat('{base} a', id, ' b', id, ' c', id, ' d', id, ' {base.upper().replace('W', 'V')} e', id, ' f', id, ' g', id, ' h', id, ' i', id) AS text")
+    levels, total = jaccard.sketch(docs)
+    rows = jaccard.prefixes(docs, levels, total).cache()
+    postings = rows.select(F.col("doc_id").alias("id"), "n", "l", F.posexplode("prefix").alias("at", "token"))
+    lists = postings.groupBy("token").agg(F.count("*").alias("many"), F.min(F.struct("at", "n", "id", "l")).alias("pivot")).filter("many > 64")
+    long = postings.join(lists, "token")
+    found = spark.createDataFrame([], "id long, component long")
+    assert rows.filter("n > 150").count() == 20000
+    assert jaccard.late_pairs(long, found, 90).count() == 0
+    rows.unpersist()
+
+
 def test_components(spark):
     r = random.Random(9)
     edges = [(i, i + 1) for i in range(100, 140)] + [(r.randrange(60), r.randrange(60)) for _ in range(40)] + [(200, x) for x in range(201, 260)]

@@ -11,7 +11,7 @@ def test_null_ids(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, n_chars long")
     items = spark.createDataFrame([(1, text), (None, text)], "item_id long, text string")
     for out in (
-        media.read_media(media.encode_media(docs)), langid.predict(docs, langid.fit(docs)), pseudonyms.mask(docs), secrets.find(docs), secrets.redact(docs),
+        media.read_media(media.encode_media(docs)), langid.predict(docs, langid.fit(docs)), pseudonyms.mask(docs, "k"), secrets.find(docs), secrets.redact(docs),
         bpe.round_trip(docs, P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN), tokencount.token_counts(docs, P.path("piece_bpe_32k.model")), jaccard.link(docs),
     ):
         got = [r.doc_id for r in out.collect()]
