@@ -33,6 +33,22 @@ class Files:
         fs, at = self._at(path)
         return fs.getContentSummary(at).getLength() if fs.exists(at) else -1
 
+    def names(self, path: str) -> list[str]:
+        """Names in a folder."""
+        fs, at = self._at(path)
+        return sorted(x.getPath().getName() for x in fs.listStatus(at)) if fs.exists(at) else []
+
+    def create(self, path: str) -> bool:
+        """An empty file; False where there is one already. Of several writers one succeeds."""
+        fs, at = self._at(path)
+        try:
+            fs.create(at, False).close()
+        except Exception as e:  # the file system's own exception, through the gateway
+            if fs.exists(at):
+                return False
+            raise OSError(str(e)) from e
+        return True
+
     def rename(self, old: str, new: str) -> bool:
         fs, at = self._at(old)
         return fs.exists(at) and fs.rename(at, self._path(new))
