@@ -46,6 +46,22 @@ def varint_decode(data: Column, most: int = 10) -> Column:
     return F.when(F.length(data) > 0, let(as_bytes(data), read))
 
 
+def varints(data: Column) -> Column:
+    """All numbers of data, one after the other; null where the last is cut off."""
+    start = F.struct(F.array().cast("array<bigint>").alias("out"), F.lit(0).cast("long").alias("value"), F.lit(0).alias("shift"))
+
+    def step(s, x):
+        value = s["value"].bitwiseOR(F.call_function("shiftleft", x.bitwiseAND(127).cast("long"), s["shift"]))
+        more = x >= 128
+        return F.struct(
+            F.when(more, s["out"]).otherwise(F.array_append(s["out"], value)).alias("out"),
+            F.when(more, value).otherwise(F.lit(0).cast("long")).alias("value"), F.when(more, s["shift"] + 7).otherwise(F.lit(0)).alias("shift"),
+        )
+
+    found = F.aggregate(as_bytes(data), start, step, lambda s: F.when(s["shift"] == 0, s["out"]))
+    return F.when(F.length(data) > 0, found).when(data.isNotNull(), F.array().cast("array<bigint>"))
+
+
 def length_prefixed(x: Column) -> Column:
     """varint(bytes) and the bytes."""
     data = x.cast("binary")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.codecs import varint_length
+from ..functions.codecs import varint_encode, varint_length, varints
 
 CREATE, DELETE = 0, 1
 #: A rewrite needs more deletions than this, and more than this many times the live tables.
@@ -55,6 +55,24 @@ def encoded_size(log: DataFrame) -> DataFrame:
     return log.select("seq", (1 + varint_length(F.col("id")) + varint_length(F.col("level")) + varint_length(F.col("op"))).cast("long").alias("bytes"))
 
 
+def encoded(log: DataFrame, batch: Column) -> DataFrame:
+    """batch_id and bytes of each batch's changes in order of seq: their count, then id, level and op of each, all as varints."""
+    one = F.concat(*(varint_encode(F.col(c)) for c in ("id", "level", "op")))
+    batches = log.select(batch.alias("batch_id"), "seq", F.hex(one).alias("one")).groupBy("batch_id").agg(F.array_sort(F.collect_list(F.struct("seq", "one"))).alias("all"))
+    body = F.array_join(F.transform("all", lambda x: x["one"]), "")
+    return batches.select("batch_id", F.unhex(F.concat(F.hex(varint_encode(F.size("all"))), body)).alias("bytes"))
+
+
+def decoded(batches: DataFrame) -> DataFrame:
+    """batch_id, at (from 0), id, level and op of encoded batches (batch_id, bytes); of a damaged batch one row with a null `at`."""
+    numbers = varints(F.col("bytes"))
+    whole = (F.size(numbers) > 0) & (F.size(numbers) == 1 + 3 * F.get(numbers, F.lit(0)))
+    found = F.transform(F.sequence(F.lit(0), ((F.size("numbers") - 1) / 3).cast("int") - 1), lambda i: F.struct(i.cast("long").alias("at"), *(F.get("numbers", 3 * i + k + 1).alias(c) for k, c in enumerate(("id", "level", "op")))))
+    read = batches.select("batch_id", F.when(whole, numbers).alias("numbers"))
+    rows = read.select("batch_id", F.inline_outer(F.when(F.size("numbers") > 1, found)))
+    return rows.select("batch_id", "at", "id", F.col("level").cast("int").alias("level"), F.col("op").cast("int").alias("op"))
+
+
 def missing(state: DataFrame, on_disk: DataFrame) -> DataFrame:
     """Ids of the catalogue that are not on disk; must be empty before a catalogue is used."""
     return state.select("id").join(on_disk.select("id"), "id", "left_anti")
