@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.codecs import separator, shared_length, varint_length
 from ..options import TRAILER, Options
-from ..session import ship
+from ..session import ship, written
 from .ordered import Buckets, seek_ge_batch, walked
 
 
@@ -209,6 +209,7 @@ def index(packed: DataFrame) -> DataFrame:
 
 def two_level_seek(packed: DataFrame, targets: DataFrame) -> DataFrame:
     """target, key, value: the index finds the block, whose entries then give the first key not below the target."""
+    packed = written(packed, "packed")  # read by the index, for its bounds and by the join
     blocks = index(packed).select(F.col("sep_key").alias("key"), F.col("block_id").alias("value"))
     placed = seek_ge_batch(blocks, targets).select("target", F.col("value").alias("block_id")).distinct()
     inside = placed.join(packed, "block_id").filter(F.col("key") >= F.col("target")).groupBy("target").agg(F.min("key").alias("key"), F.min_by("value", "key").alias("value"))

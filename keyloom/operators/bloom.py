@@ -62,15 +62,11 @@ def probe(probes: DataFrame, set_bits: DataFrame, size: int, k: int, column: str
     return probes.join(fine, probes[column] == fine["probe_key"], "left").withColumn("may_match", F.coalesce("hit", F.lit(False))).drop("probe_key", "hit")
 
 
-def prefiltered_semi_join(left: DataFrame, right: DataFrame, left_on: str, right_on: str, bits: int = 10) -> DataFrame:
-    """Rows of left whose key right holds: a probe of the filter of right's distinct keys drops most others, and an exact semi join decides.
-
-    The probe's bits are found with a join on the distinct keys of left, so neither side has to fit anywhere.
-    """
-    set_bits, size, k = build(right, bits, right_on)
-    hopeful = probe(left.select(F.col(left_on).alias("key")).distinct(), set_bits, size, k).filter("may_match").select("key")
-    exact = hopeful.join(right.select(F.col(right_on).alias("key")).distinct(), "key", "left_semi")
-    return left.join(exact, left[left_on] == exact["key"], "left_semi")
+def prefiltered_semi_join(left: DataFrame, right: DataFrame, left_on: str, right_on: str) -> DataFrame:
+    """Rows of left whose key right holds. Right's distinct keys are broadcast if they are small; else both sides
+    are shuffled, and Spark's runtime filter (a Bloom filter of right's keys, pushed to left's scan) drops most others before."""
+    keys = right.select(F.col(right_on).alias("key")).filter(F.col(right_on).isNotNull()).distinct()
+    return left.join(keys, left[left_on] == keys["key"], "left_semi")
 
 
 class FilterPolicy(ABC):

@@ -18,6 +18,7 @@ def local_session(cpus: int | str = 8, partitions: int = 8) -> SparkSession:
         .appName("keyloom")
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.sql.optimizer.runtime.bloomFilter.enabled", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", os.environ.get("KEYLOOM_DRIVER_MEMORY", "8g"))
         .config("spark.ui.showConsoleProgress", "false")
