@@ -14,6 +14,7 @@ from ..operators import blocks, bloom, cachesim, manifest, memtable, ordered, sk
 from ..options import MAGIC, Options
 from ..session import shared_dir, table
 from ..sources import binary_table, sorted_table
+from ..sources import change_log as change_log_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -270,6 +271,29 @@ def sst_file_name(spark, sf):
     return table(spark, sf, "supplier").select("s_suppkey", C.sst_file_name("db", F.col("s_suppkey")).alias("name"))
 
 
+@query(f"{_PACKED} SELECT block_id, first_key AS key, value FROM b JOIN {CUSTOMERS_SQL} c ON c.key = first_key")
+def block_first_entries(spark, sf):
+    return blocks.first_entries(blocks.pack(customers(spark, sf)))
+
+
+@query(f"SELECT t.target, kv.value FROM {TARGETS_SQL} t LEFT JOIN {CUSTOMERS_SQL} kv ON t.target = kv.key")
+def sst_point_lookup(spark, sf):
+    """Open a table file, probe its stored filter, search its index and block."""
+    kv = customers(spark, sf)
+    buckets = ordered.Buckets(kv)
+    return binary_table.lookup(binary_table.pack(kv, buckets=buckets), targets(spark, sf), buckets).select("target", F.col("value").cast("string").alias("value"))
+
+
+@query("SELECT p_partkey, 'checksum' AS damage FROM part")
+def sst_damage_found(spark, sf):
+    """A file of each part's entry, with one byte of its value changed: each is found by the checksum of its block."""
+    ranges = table(spark, sf, "part").select(F.col("p_partkey").cast("int").alias("table_id"), F.format_string("%012d", "p_partkey").alias("key"), F.lit("value").alias("value"))
+    whole = binary_table.files_of(ranges)
+    # the entry's header is three bytes, the key twelve: byte 16 is the first of the value
+    cut = whole.select("table_id", F.concat(F.substring("content", 1, 15), F.unhex(F.lit("00")), F.expr("substring(content, 17)")).alias("content"))
+    return binary_table.verified(cut).select(F.col("table_id").cast("long").alias("p_partkey"), F.substring_index("damage", " ", 1).alias("damage"))
+
+
 # Checksums and hashes.
 
 _TABLE_SQL = f"[{', '.join(map(str, B.CRC_TABLE))}]"
@@ -344,6 +368,16 @@ def bloom_probe(spark, sf):
     return bloom.probe(targets(spark, sf), set_bits, size, k, "target").select("target", "may_match")
 
 
+@query(f"""{_BLOOM_SQL}, t AS (SELECT target, CAST({_hash_sql('encode(target)')} AS UBIGINT) AS h FROM {TARGETS_SQL} WHERE target <> '')
+SELECT target, bool_and(CAST(((h + j * {_ROTR_SQL}) & 4294967295) % size AS BIGINT) IN (SELECT bit FROM bits)) AS may_match FROM t, z, range(0, {bloom.hash_count(_BITS)}) r(j) GROUP BY target
+UNION ALL SELECT '', false""")
+def stored_filter_probe(spark, sf):
+    """As bloom_probe, through the bytes of the filter block of a table file."""
+    kv = customers(spark, sf)
+    buckets = ordered.Buckets(kv)
+    return binary_table.lookup(binary_table.pack(kv, buckets=buckets), targets(spark, sf), buckets).select("target", "may_match")
+
+
 _RATES = "(SELECT rate FROM (VALUES (0.1), (0.05), (0.01), (0.001), (0.5)) t(rate))"
 
 
@@ -421,9 +455,9 @@ def varint_length(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", C.varint_length(F.col("o_orderkey") * 7919).alias("bytes"))
 
 
-@query("SELECT o_orderkey, o_orderkey * 7919 AS v, CAST(NULL AS BIGINT) AS cut FROM orders WHERE o_orderkey > 0")
+@query("SELECT o_orderkey, o_orderkey * 7919 AS v, CAST(NULL AS BIGINT) AS cut FROM orders")
 def varint_roundtrip(spark, sf):
-    coded = table(spark, sf, "orders").filter("o_orderkey > 0").select("o_orderkey", C.varint_encode(F.col("o_orderkey") * 7919).alias("b"))
+    coded = table(spark, sf, "orders").select("o_orderkey", C.varint_encode(F.col("o_orderkey") * 7919).alias("b"))
     # without its last byte every varint is cut off
     return coded.select("o_orderkey", C.varint_decode(F.col("b")).alias("v"), C.varint_decode(F.substring(F.col("b"), F.lit(1), F.length("b") - 1)).alias("cut"))
 
@@ -501,6 +535,28 @@ def manifest_codec_size(spark, sf):
     return manifest.encoded_size(change_log(spark, sf))
 
 
+@query(f"""WITH v AS (SELECT seq // 16 AS batch_id, seq, {_varint_sql('id')} || {_varint_sql('level')} || {_varint_sql('op')} AS one FROM (SELECT seq, id, CAST(level AS BIGINT) AS level, CAST(op AS BIGINT) AS op FROM {LOG_SQL}))
+SELECT batch_id, printf('%02X', count(*)) || string_agg(one, '' ORDER BY seq) AS bytes FROM v GROUP BY batch_id""")
+def manifest_encode(spark, sf):
+    return manifest.encoded(change_log(spark, sf), F.expr("seq div 16")).select("batch_id", F.hex("bytes").alias("bytes"))
+
+
+@query(f"SELECT seq // 16 AS batch_id, row_number() OVER (PARTITION BY seq // 16 ORDER BY seq) - 1 AS at, id, level, op FROM {LOG_SQL}")
+def manifest_codec_roundtrip(spark, sf):
+    return manifest.decoded(manifest.encoded(change_log(spark, sf), F.expr("seq div 16")))
+
+
+@query(f"SELECT id, level FROM {STATE_SQL}")
+def manifest_open(spark, sf):
+    """The log appended to a new folder in two batches, rewritten after the first, opened and replayed."""
+    path, log = f"{shared_dir(spark)}/keyloom-log-{uuid.uuid4().hex}", change_log(spark, sf)
+    middle = log.agg(F.expr("percentile_approx(seq, 0.5)").alias("m")).first()["m"] or 0
+    change_log_files.append_frame(spark, path, log.filter(F.col("seq") <= middle))
+    change_log_files.rewrite(spark, path)
+    change_log_files.append_frame(spark, path, log.filter(F.col("seq") > middle))
+    return manifest.replay(change_log_files.read(spark, path))
+
+
 _DISK_SQL = "(SELECT c_custkey AS id FROM customer WHERE c_custkey BETWEEN 50 AND 220)"
 
 
@@ -522,22 +578,22 @@ def reconcile_orphans(spark, sf):
 
 
 def _accesses(spark: SparkSession, sf: str) -> DataFrame:
-    """Events in the order of (ts, event_id): microseconds, made unique by the id."""
-    e = table(spark, sf, "events")
-    return cachesim.accesses(e.select((F.unix_micros(F.col("ts").cast("timestamp")) * 128 + F.col("event_id") % 128).alias("seq"), F.col("user_id").alias("key"), "event_id").select("seq", "key"))
+    """Events in the order of (ts, event_id)."""
+    log = table(spark, sf, "events").select(F.unix_micros(F.col("ts").cast("timestamp")).alias("micros"), "event_id", F.col("user_id").alias("key"))
+    return cachesim.accesses(log, order=("micros", "event_id"))
 
 
 _REUSE_SQL = """
-WITH a AS (SELECT user_id AS key, CAST(user_id % 4 AS INTEGER) AS shard, epoch_us(ts) * 128 + event_id % 128 AS seq FROM events),
-r AS (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY seq) AS pos FROM a),
+WITH a AS (SELECT user_id AS key, CAST(user_id % 4 AS INTEGER) AS shard, ts, event_id FROM events),
+r AS (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY ts, event_id) AS pos FROM a),
 p AS (SELECT *, lag(pos) OVER (PARTITION BY shard, key ORDER BY pos) AS before FROM r),
-h AS (SELECT p.seq, p.shard, p.key, p.before IS NOT NULL AND (SELECT count(DISTINCT o.key) FROM r o WHERE o.shard = p.shard AND o.pos > p.before AND o.pos < p.pos) < 10 AS hit FROM p)
+h AS (SELECT p.event_id, p.shard, p.key, p.before IS NOT NULL AND (SELECT count(DISTINCT o.key) FROM r o WHERE o.shard = p.shard AND o.pos > p.before AND o.pos < p.pos) < 10 AS hit FROM p)
 """
 
 
-@query(f"{_REUSE_SQL} SELECT seq, key, shard, hit FROM h")
+@query(f"{_REUSE_SQL} SELECT event_id, key, shard, hit FROM h")
 def lru_hits(spark, sf):
-    return _accesses(spark, sf).select("seq", "key", "shard", "hit")
+    return _accesses(spark, sf).select("event_id", "key", "shard", "hit")
 
 
 @query(f"{_REUSE_SQL} SELECT shard, count(*) AS accesses, CAST(sum(CASE WHEN hit THEN 1 ELSE 0 END) AS BIGINT) AS hits, CAST(sum(CASE WHEN hit THEN 0 ELSE 1 END) - least(10, count(DISTINCT key)) AS BIGINT) AS evictions FROM h GROUP BY shard")
@@ -560,11 +616,13 @@ def freq_aged(spark, sf):
     return sketch.aged(sketch.capped(table(spark, sf, "orders"), "o_custkey"))
 
 
-@query("SELECT o_custkey AS key, true AS covers FROM orders GROUP BY 1")
-def freq_estimate(spark, sf):
-    keys = table(spark, sf, "orders").select(F.col("o_custkey").cast("string").alias("key"))
-    found = sketch.estimate(sketch.count_min(keys, 4096), keys, 4096)
-    true = sketch.capped(keys)
-    return found.join(true, "key").select(F.col("key").cast("long").alias("key"), (F.col("estimate") >= F.col("freq")).alias("covers"))
+_WIDTH = 4096
 
 
+@query(f"""WITH k AS (SELECT o_custkey AS key, count(*) AS n, CAST({_hash_sql('encode(CAST(o_custkey AS VARCHAR))')} AS UBIGINT) AS h FROM orders GROUP BY o_custkey),
+c AS (SELECT key, n, r, ((h + r * {_ROTR_SQL}) & 4294967295) % {_WIDTH} AS cell FROM k, range(0, {sketch.ROWS}) t(r)),
+s AS (SELECT r, cell, least(sum(n), {sketch.MOST}) AS n FROM c GROUP BY r, cell)
+SELECT key, CAST(min(s.n) AS INTEGER) AS estimate FROM c JOIN s USING (r, cell) GROUP BY key""")
+def freq_estimate(spark, sf):
+    keys = table(spark, sf, "orders").select(F.col("o_custkey").cast("string").alias("key"))
+    return sketch.estimate(sketch.count_min(keys, _WIDTH), keys, _WIDTH).select(F.col("key").cast("long").alias("key"), "estimate")

@@ -8,6 +8,7 @@ magic number or length raises ValueError, so the task fails.
 from __future__ import annotations
 
 import struct
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
@@ -114,14 +115,20 @@ class Block:
         return bytes(self.data) + struct.pack(f"<{len(self.restarts) + 1}I", *self.restarts, len(self.restarts))
 
 
-def read_block(data: bytes) -> Iterator[tuple[bytes, bytes]]:
+def restarts_of(data: bytes) -> tuple[tuple[int, ...], int]:
+    """A block's restarts, and where its entries end."""
     if len(data) < 4:
         raise ValueError("a block is too short")
-    (restarts,) = struct.unpack("<I", data[-4:])
-    end = len(data) - 4 - 4 * restarts
+    (n,) = struct.unpack("<I", data[-4:])
+    end = len(data) - 4 - 4 * n
     if end < 0:
         raise ValueError("a block has too many restarts")
-    at, key = 0, b""
+    return struct.unpack(f"<{n}I", data[end:-4]), end
+
+
+def read_block(data: bytes, start: int = 0) -> Iterator[tuple[bytes, bytes]]:
+    """The entries of a block, from a restart on."""
+    at, end, key = start, restarts_of(data)[1], b""
     while at < end:
         shared, at = read_varint(data, at)
         rest, at = read_varint(data, at)
@@ -133,6 +140,15 @@ def read_block(data: bytes) -> Iterator[tuple[bytes, bytes]]:
         at += rest + size
 
 
+def seek_block(data: bytes, target: bytes) -> tuple[bytes, bytes] | None:
+    """The first entry not below target: the last restart with a lesser key by binary search, then on from there."""
+    restarts, _ = restarts_of(data)
+    first = lambda at: next(read_block(data, at), (b"",))[0]
+    before = bisect_left(restarts, target, key=first)
+    start = restarts[max(before - 1, 0)] if restarts else 0
+    return next((entry for entry in read_block(data, start) if entry[0] >= target), None)
+
+
 def shortest(start: bytes, limit: bytes) -> bytes:
     for i, (a, b) in enumerate(zip(start, limit)):
         if a != b:
@@ -197,13 +213,20 @@ class Table:
         for _, handle in self.index:
             yield from read_block(self.block(*handle))
 
+    def scan(self, handle: tuple[int, int], cache=None) -> Iterator[tuple[bytes, bytes]]:
+        """The entries of the block at a handle (offset, length); a cache (CachePolicy) keeps blocks whose checksum is tested."""
+        data = cache.get(handle) if cache else None
+        if data is None:
+            data = self.block(*handle)
+            if cache:
+                cache.insert(handle, data)
+        return read_block(data)
+
     def seek(self, target: bytes) -> tuple[bytes, bytes] | None:
-        """The first entry not below target, through the index."""
-        for separator, handle in self.index:
-            if separator >= target:
-                for key, value in read_block(self.block(*handle)):
-                    if key >= target:
-                        return key, value
+        """The first entry not below target: binary searches in the index and in the block."""
+        for _, handle in self.index[bisect_left(self.index, target, key=lambda x: x[0]) :]:
+            if found := seek_block(self.block(*handle), target):
+                return found
         return None
 
     def get(self, key: bytes) -> bytes | None:
@@ -214,11 +237,10 @@ class Table:
         return found[1] if found and found[0] == key else None
 
 
-def pack(df: DataFrame, options: Options = Options(), buckets: Buckets | None = None) -> DataFrame:
-    """table_id, entries, content: one file of each key range; ranges are packed in parallel."""
-    buckets = buckets or Buckets(df)
+def files_of(df: DataFrame, options: Options = Options()) -> DataFrame:
+    """table_id, entries, content: one file of the entries (key, value) of each table_id; files are packed in parallel."""
     ship(df.sparkSession)
-    own = df.select(F.col("key").cast("binary").alias("key"), F.coalesce(F.col("value").cast("binary"), F.lit(b"")).alias("value"), buckets.of(F.col("key")).alias("table_id"))
+    own = df.select(F.col("key").cast("binary").alias("key"), F.coalesce(F.col("value").cast("binary"), F.lit(b"")).alias("value"), F.col("table_id").cast("int").alias("table_id"))
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pairs = sorted(zip(map(bytes, pdf["key"]), map(bytes, pdf["value"])))
@@ -227,6 +249,47 @@ def pack(df: DataFrame, options: Options = Options(), buckets: Buckets | None =
     return own.filter(F.octet_length("key") > 0).groupBy("table_id").applyInPandas(fold, "table_id int, entries long, content binary")
 
 
+def pack(df: DataFrame, options: Options = Options(), buckets: Buckets | None = None) -> DataFrame:
+    """One file of each key range."""
+    buckets = buckets or Buckets(df)
+    return files_of(df.select("key", "value", buckets.of(F.col("key")).alias("table_id")), options)
+
+
+def lookup(files: DataFrame, targets: DataFrame, buckets: Buckets) -> DataFrame:
+    """target (distinct), may_match (by the stored filter) and value (null: absent): each target goes to the file of its range, whose filter spares most reads of absent keys."""
+    own = targets.select(F.col("target").cast("string").alias("target")).distinct().withColumn("table_id", buckets.of(F.col("target")))
+    ship(files.sparkSession)
+
+    def find(held: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
+        opened = Table(bytes(held["content"].iat[0])) if len(held) else None
+        keys = [t.encode() for t in wanted["target"]]
+        matched = [opened is not None and opened.filter is not None and may_match(k, opened.filter) for k in keys]
+        values = [opened.get(k) if m else None for k, m in zip(keys, matched)]
+        return pd.DataFrame({"target": wanted["target"], "may_match": matched, "value": values})
+
+    grouped = files.select("table_id", "content").groupBy("table_id").cogroup(own.filter(F.col("target").isNotNull()).groupBy("table_id"))
+    return grouped.applyInPandas(find, "target string, may_match boolean, value binary")
+
+
+def verified(files: DataFrame) -> DataFrame:
+    """table_id and damage: what is wrong with a file, or null."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = []
+            for content in pdf["content"]:
+                try:
+                    for _ in Table(bytes(content)):
+                        pass
+                    found.append(None)
+                except ValueError as e:
+                    found.append(str(e))
+            yield pd.DataFrame({"table_id": pdf["table_id"], "damage": pd.array(found, dtype="string")})
+
+    ship(files.sparkSession)
+    return files.select("table_id", "content").mapInPandas(run, "table_id int, damage string")
+
+
 def unpack(files: DataFrame) -> DataFrame:
     """key, value (binary) of files with a column content, checksums tested."""
 

@@ -6,7 +6,7 @@ from bisect import bisect_left
 import pytest
 from pyspark.sql import functions as F
 
-from keyloom.operators import blocks, bloom, memtable, ordered
+from keyloom.operators import blocks, bloom, cachesim, memtable, ordered
 from keyloom.options import Options
 from keyloom.sources import binary_table, sorted_table
 
@@ -94,6 +94,42 @@ def test_last_block_is_reachable_and_none_is_empty():
     assert list(binary_table.Table(binary_table.encode([]))) == [] and list(binary_table.Table(binary_table.encode([(b"", b"x")]))) == []
 
 
+def test_binary_search_in_blocks():
+    r = random.Random(8)
+    for n in (1, 2, 15, 16, 17, 33, 200):
+        keys = sorted({"".join(r.choice("abc") for _ in range(r.randint(1, 6))).encode() for _ in range(n)})
+        block = binary_table.Block(r.choice([1, 3, 16]))
+        for k in keys:
+            block.add(k, k + b"!")
+        for t in [*keys, b"", b"b", b"zz", *(k + b"a" for k in keys)]:
+            i = bisect_left(keys, t)
+            assert binary_table.seek_block(block.bytes(), t) == ((keys[i], keys[i] + b"!") if i < len(keys) else None)
+    assert binary_table.seek_block(binary_table.Block(16).bytes(), b"a") is None
+
+
+def test_block_scan_through_a_cache():
+    pairs = [(f"k{i:04}".encode(), b"v" * 20) for i in range(300)]
+    opened, cache = binary_table.Table(binary_table.encode(pairs, Options(block_size=256))), cachesim.LruCache(3)
+    read = []
+    real = opened.block
+    opened.block = lambda *h: read.append(h) or real(*h)
+    for _, handle in opened.index[:3] * 2:
+        assert list(opened.scan(handle, cache)) == list(opened.scan(handle))
+    assert len(opened.index) > 3 and len(read) == 6 + 3
+
+
+def test_lookup_in_files_of_several_ranges(spark, kv):
+    buckets = ordered.Buckets(kv, rows=300)
+    wanted = [f"key{i}" for i in range(0, 4000, 7)] + ["", "a", "zzz"]
+    targets = spark.createDataFrame([(t,) for t in wanted] + [(None,), ("zzz",)], "target string")
+    got = {r.target: r for r in binary_table.lookup(binary_table.pack(kv, buckets=buckets), targets, buckets).collect()}
+    assert got.keys() == set(wanted)
+    for t in wanted:
+        there = t.startswith("key") and int(t[3:]) < 1900
+        assert (bytes(got[t].value) == f"_value:{t}_".encode() and got[t].may_match) if there else got[t].value is None
+    assert [tuple(r) for r in binary_table.lookup(binary_table.pack(ordered.empty(kv)), targets.limit(1), buckets).collect()] == [("key0", False, None)]
+
+
 def test_damage_is_found():
     data = binary_table.encode([(k, k) for k in STEM])
     for at in (3, 80, len(data) - 1):
