@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,7 +11,7 @@ from ..functions import bytes as B
 from ..functions import codecs as C
 from ..operators import blocks, bloom, cachesim, manifest, memtable, ordered, sketch
 from ..options import MAGIC, Options
-from ..session import shared_dir, table
+from ..session import scratch, table
 from ..sources import binary_table, sorted_table
 from ..sources import change_log as change_log_files
 
@@ -250,7 +249,7 @@ def separator_keys(spark, sf):
 
 @query("SELECT printf('%012d', p_partkey) AS key, p_name AS value FROM part")
 def sst_write_read_roundtrip(spark, sf):
-    path = f"{shared_dir(spark)}/keyloom-sst-{uuid.uuid4().hex}"
+    path = f"{scratch(spark, 'sst')}/table"
     sorted_table.write(parts(spark, sf), path)
     return sorted_table.read(spark, path)
 
@@ -549,7 +548,7 @@ def manifest_codec_roundtrip(spark, sf):
 @query(f"SELECT id, level FROM {STATE_SQL}")
 def manifest_open(spark, sf):
     """The log appended to a new folder in two batches, rewritten after the first, opened and replayed."""
-    path, log = f"{shared_dir(spark)}/keyloom-log-{uuid.uuid4().hex}", change_log(spark, sf)
+    path, log = f"{scratch(spark, 'log')}/log", change_log(spark, sf)
     middle = log.agg(F.expr("percentile_approx(seq, 0.5)").alias("m")).first()["m"] or 0
     change_log_files.append_frame(spark, path, log.filter(F.col("seq") <= middle))
     change_log_files.rewrite(spark, path)

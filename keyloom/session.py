@@ -58,14 +58,21 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
-    """df, written as Parquet to the shared folder and read again: cuts the lineage and survives lost executors. Deleted when the driver ends, if not before."""
-    spark = df.sparkSession
+def scratch(spark: SparkSession, what: str) -> str:
+    """A new folder in the shared one; deleted when the driver ends, if not before."""
     path = f"{shared_dir(spark)}/keyloom-{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(at)
+    fs.deleteOnExit(at)
+    return path
+
+
+def written(df: DataFrame, what: str) -> DataFrame:
+    """df, written as Parquet to the shared folder and read again: cuts the lineage and survives lost executors."""
+    path = scratch(df.sparkSession, what)
+    df.write.mode("append").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def drop_written(spark: SparkSession, *frames: DataFrame) -> None:
