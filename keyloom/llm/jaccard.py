@@ -308,14 +308,13 @@ def _sizes_fit(x: str, y: str, percent: int):
 
 def dealt(rows: DataFrame, keyed: DataFrame, key: str, by: str) -> DataFrame:
     """rows joined on key with keyed, which has one row a key and in `many` how many rows hold it; the rows of heavy keys are dealt by a hash of `by`."""
-    spark = rows.sparkSession
     total = keyed.agg(F.sum("many").alias("n")).first()["n"] or 0
-    heavy = keyed.filter(F.col("many") > F.lit(total / HEAVY)).select(key)
-    hot = F.broadcast(spark.createDataFrame(heavy.collect(), heavy.schema).withColumn("hot", F.lit(True)))  # HEAVY keys at most
-    salt = F.when(F.col("hot"), F.pmod(F.xxhash64(F.lit("salt"), by), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))
-    salts = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    left = rows.join(hot, key, "left").withColumn("salt", salt).drop("hot")
-    right = keyed.join(hot, key, "left").withColumn("salt", F.explode(salts)).drop("hot")
+    heavy = [r[0] for r in keyed.filter(F.col("many") > F.lit(total / HEAVY)).select(key).collect()]  # HEAVY keys at most
+    if not heavy:
+        return rows.join(keyed, key)
+    hot = F.col(key).isin([F.lit(bytes(k)) if isinstance(k, bytearray) else k for k in heavy])
+    left = rows.withColumn("salt", F.when(hot, F.pmod(F.xxhash64(F.lit("salt"), by), F.lit(SALTS)).cast("int")).otherwise(F.lit(0)))
+    right = keyed.withColumn("salt", F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
     return left.join(right, [key, "salt"]).drop("salt")
 
 
@@ -325,11 +324,13 @@ def late_pairs(long: DataFrame, found: DataFrame, percent: int) -> DataFrame:
     ranked = long.withColumn("rank", F.row_number().over(row.orderBy("at"))).withColumn("lists", F.count("*").over(row))
     # the first shared shingle leaves enough of either set
     near = ranked.filter(F.col("at") <= F.col("n") - F.expr(f"(cast(n AS bigint) * {percent} + 99) div 100"))
-    placed = near.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    core = long.filter(F.col("id") == F.col("pivot.id")).select("token", "id", "many").join(found, "id", "left").select("token", "many", F.coalesce("component", "id").alias("core"))
-    own = placed.filter("id != pivot.id").withColumn("early", F.col("rank") <= F.col("lists") - F.col("l") + 1).select("token", "id", "n", "l", "at", "early", "component")
-    own = written(dealt(own, core, "token", "id").withColumn("outside", F.col("component") != F.col("core")).drop("many", "core"), "placed")
-    # early ones outside the core meet all, early ones in it those outside; most lists, all core, have neither
+    placed = near.filter("id != pivot.id").withColumn("early", F.col("rank") <= F.col("lists") - F.col("l") + 1).select("token", "id", "n", "l", "at", "early")
+    placed = written(placed.join(found, "id", "left").withColumn("component", F.coalesce("component", "id")), "placed")
+    # most lists are of one component and have no pair to give
+    mixed = placed.groupBy("token").agg(F.count("*").alias("many"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("token", "many")
+    core = long.filter(F.col("id") == F.col("pivot.id")).select("token", "id").join(mixed, "token").join(found, "id", "left").select("token", "many", F.coalesce("component", "id").alias("core"))
+    own = written(dealt(placed, written(core, "core"), "token", "id").withColumn("outside", F.col("component") != F.col("core")).drop("many", "core"), "own")
+    # early ones outside the core meet all, early ones in it those outside
     tally = own.groupBy("token").agg(F.count("*").alias("many"), F.count_if(F.expr("early AND outside")).alias("early_out"), F.count_if(F.expr("early AND NOT outside")).alias("early_in"), F.count_if("outside").alias("out"))
     tally = written(tally.filter("early_out > 0 AND many > 1 OR early_in > 0 AND out > 0"), "tally")
     own = dealt(own, tally, "token", "id")
