@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -10,15 +11,18 @@ from pyspark.sql import functions as F
 
 from ..session import ship
 
-#: Rows in an Arrow batch; a batch of average texts is then about a megabyte.
-BATCH_ROWS = 256
+#: Rows and bytes of an Arrow batch, at most (but for one longer text, which is a batch of its own).
+BATCH_ROWS, BATCH_BYTES = 256, 16 << 20
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Keeps Arrow batches small: texts can be long, and workers hold a batch at a time."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= rows:
-        spark.conf.set(key, str(rows))
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> None:
+    """Keeps Arrow batches small: texts can be long, and workers hold a batch at a time. Spark reads these settings when
+    it plans a frame, which is after the operator returns, so they stay; smaller settings of the session's owner are kept."""
+    for key, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
+        key = f"spark.sql.execution.arrow.{key}"
+        now = re.fullmatch("([0-9]+)b?", spark.conf.get(key))
+        if not now or not 0 < int(now[1]) <= most:
+            spark.conf.set(key, str(most))
 
 
 def texts(docs: DataFrame) -> DataFrame:

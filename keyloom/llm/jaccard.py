@@ -189,14 +189,14 @@ def differ(x: np.ndarray, y: np.ndarray) -> int:
 
 
 def prefixes(docs: DataFrame, levels: np.ndarray, total: int, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n, digest of the set, its parity bits, l and the prefix for it."""
+    """doc_id, mark (a digest of the text), n, digest of the set, its parity bits, l and the prefix for it."""
     shared = docs.sparkSession.sparkContext.broadcast((levels, docs.count(), total))
 
     def make():
         levels, documents, total = shared.value
 
         def step(rows):
-            out = {k: [] for k in ("doc_id", "n", "digest", "bits", "l", "prefix")}
+            out = {k: [] for k in ("doc_id", "n", "digest", "bits", "l", "prefix")} | {"mark": rows["mark"]}
             for i, text in zip(rows["doc_id"], rows["text"]):
                 found = ordered(text, levels, width)
                 want = matches_wanted(found, levels, documents, total, percent) if len(found) else 0
@@ -210,7 +210,7 @@ def prefixes(docs: DataFrame, levels: np.ndarray, total: int, width: int = WIDTH
 
         return step
 
-    return map_rows(docs, "doc_id long, n int, digest binary, bits binary, l int, prefix array<long>", make)
+    return map_rows(docs.withColumn("mark", F.unhex(F.md5("text"))), "doc_id long, mark binary, n int, digest binary, bits binary, l int, prefix array<long>", make)
 
 
 def sets(docs: DataFrame, wanted: DataFrame, levels: np.ndarray, width: int, percent: int) -> DataFrame:
@@ -358,6 +358,11 @@ def late_pairs(long: DataFrame, found: DataFrame, percent: int) -> DataFrame:
 
 def link(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs. Writes to the shared folder and runs several jobs."""
+    return linked(docs, width, percent).select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
+def linked(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """doc_id, mark (a digest of the text), n, digest of the set and component for each row of docs."""
     spark: SparkSession = docs.sparkSession
     docs = texts(docs)
     levels, total = sketch(docs, width)
@@ -390,13 +395,27 @@ def link(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFra
             found = components(links.union(more))
     drop_written(spark, shared, pairs, lists, late)
 
-    named = dealt(rows.filter("n > 0").select("doc_id", "n", "digest"), classes, "digest", "doc_id").select("doc_id", "n", "id").join(found, "id", "left")
-    whole = named.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
-    return whole.union(rows.filter("n = 0").select("doc_id", F.lit(0).cast("long"), F.col("doc_id")))
+    named = dealt(rows.filter("n > 0").select("doc_id", "mark", "n", "digest"), classes, "digest", "doc_id").join(found, "id", "left")
+    whole = named.select("doc_id", "mark", "n", "digest", F.coalesce("component", "id").alias("component"))
+    return whole.union(rows.filter("n = 0").select("doc_id", "mark", "n", "digest", F.col("doc_id")))
 
 
 def keep_one(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """docs without the rows of documents that are not the least of their component. All columns stay; repeated rows of a kept id stay too."""
-    found = link(docs, width, percent)
-    gone = found.filter("doc_id != component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    """docs with one row of each component: that of its least id (ids before nulls; of one id with several texts, the least digest of the text; of rows
+    repeated with equal id and text, one). Rows without ids whose sets no row with an id has are grouped by their set. Rows without words all stay. All columns stay."""
+    rows = written(linked(docs, width, percent).filter("n > 0").select("doc_id", "mark", F.coalesce(F.col("component").cast("string"), F.hex("digest")).alias("group")), "linked")
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")
+    firsts = written(rows.groupBy("group").agg(F.count("*").alias("many"), F.min(row).alias("first")), "firsts")
+    own = lambda df: df.select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark")).distinct()
+    same = lambda other: docs["doc_id"].eqNullSafe(other["__id"]) & (F.unhex(F.md5(F.coalesce(docs["text"].cast("string"), F.lit("")))) == other["__mark"])
+    gone = own(dealt(rows, firsts.filter("many > 1"), "group", "mark").filter(~row.eqNullSafe(F.col("first"))))
+    kept = docs.join(gone, same(gone), "left_anti")
+    repeated = rows.groupBy("doc_id", "mark").count().filter("count > 1")
+    if not repeated.take(1):
+        return kept
+    # ids and texts that stand there more than once: the row of the least hash of all columns
+    repeated = own(repeated)
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    several = kept.join(repeated, same(repeated), "left_semi")
+    one = several.groupBy("doc_id", "text").agg(F.min_by(F.struct(*columns), F.xxhash64(*columns)).alias("row"))
+    return kept.join(repeated, same(repeated), "left_anti").union(one.select(*(F.col("row")[c].alias(c) for c in docs.columns)))
